@@ -7,10 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, mixing, packing, tokencount
+from . import exactdup, langid, license, mixing, neardup, packing, tokencount
 from .text import documents
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.license_scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
@@ -28,6 +40,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_mixing, op8_exact_dedup, op9_packing, op10_token_counts)
+    f.__name__: f for f in (op1_near_dedup, op2_language_id, op4_license_scan, op5_mixing, op8_exact_dedup, op9_packing, op10_token_counts)
 }
 SQL: dict[str, str] = {"op8_exact_dedup": exactdup.SQL}

@@ -93,7 +93,7 @@ def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     count = len(words) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    level, width, out, done = mix(words + np.uint64(seed) * MIX), 1, None, 0
+    level, width, out, done = mix(words + np.uint64(seed * int(MIX) & 0xFFFFFFFFFFFFFFFF)), 1, None, 0
     while True:
         if n & width:
             part = level[done : done + count]
@@ -105,7 +105,7 @@ def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
         width *= 2
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     ensure_importable(df.sparkSession)
     return df.mapInArrow(f, schema)
 
