@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exactdup, langid, license, mixing, neardup, packing, tokencount
+from . import exactdup, langid, license, mixing, neardup, packing, substring, tokencount
 from .text import documents
 
 
@@ -27,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdup.exact_duplicates(documents(spark, sf_dir))
 
@@ -40,6 +44,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_near_dedup, op2_language_id, op4_license_scan, op5_mixing, op8_exact_dedup, op9_packing, op10_token_counts)
+    f.__name__: f for f in (op1_near_dedup, op2_language_id, op4_license_scan, op5_mixing, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_token_counts)
 }
-SQL: dict[str, str] = {"op8_exact_dedup": exactdup.SQL}
+SQL: dict[str, str] = {"op7_substring_dedup": substring.SQL, "op8_exact_dedup": exactdup.SQL}
