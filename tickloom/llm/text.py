@@ -110,17 +110,17 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the folder the cluster shares (``spark.checkpoint.dir``); a session without one gets its own."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or default_checkpoint_dir())
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder the cluster shares; only a session that names none, as in tests, gets a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tickloom-checkpoints")
 
 
-def default_checkpoint_dir() -> str:
-    """Used only where the session names no folder, as in local tests."""
-    return os.path.join(tempfile.gettempdir(), "tickloom-checkpoints")
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage into the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
