@@ -5,13 +5,16 @@ consecutive windows with the same one form a super-k-mer. Equal windows share th
 minimiser that only one document has needs no further work. For the others the super-k-mer travels as
 one packed string to its minimiser's bucket; equal strings meet on the way and leave their smallest
 document. A bucket sorts the windows of its strings exactly, by ranks of word pairs, of pairs of
-pairs and so on, and gives each window its smallest document. The windows of a minimiser with very
-many places travel one by one, so that no bucket is large.
+pairs and so on, and gives each window its smallest document. The super-k-mers of a minimiser with
+many places are cut further, at changes of a second minimiser over longer runs of words, which spreads
+them over buckets of their own; with very many places their windows travel one by one and are only
+aggregated. So no bucket is large, however common a passage is.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, arrow_map, checkpointed, gram_hashes, slices
+from .text import Words, arrow_map, checkpointed, gram_hashes, mix, slices
 
 WINDOW, GRAM = 50, 12
-#: A minimiser with more places than this has its windows sent one by one.
-HOT = 1000
+#: Words of the second minimiser's runs.
+GRAM2 = 36
+#: A minimiser with more places than the first has its super-k-mers cut by the second one; with more than the other,
+#: into single windows.
+HOT = (200, 50_000)
 #: A null doc_id counts as the largest, so it removes nothing from others.
 LAST = (1 << 63) - 1
 #: Bytes of packed strings that a bucket task sorts at once (whole minimisers).
@@ -58,12 +64,8 @@ def super_kmers(words: Words, window: int, gram: int) -> tuple[np.ndarray, np.nd
     return doc[first], place[first] - words.offsets[doc[first]], np.diff(np.append(first, len(place))), key[first]
 
 
-RUNS = "array<struct<mini: long, start: int, n: int>>"
-RUN = pa.struct([("mini", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
-
-
 def summaries(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(doc_id, row, tkey, n_words, whole, runs) for each row: the digest of all its words, and its super-k-mers."""
+    """(doc_id, row, tkey, n_words, whole, minis, starts, sizes): each row's words' digest and its super-k-mers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,18 +74,36 @@ def summaries(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 whole = [hashlib.sha256(b" ".join(t.split())).digest() for t in texts.cast(pa.binary()).to_pylist()]
                 words = Words(texts, lower=False)
                 doc, start, n, key = super_kmers(words, window, gram)
-                offsets = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
-                runs = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], fields=list(RUN)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "row", "tkey")), pa.array(words.counts), pa.array(whole, pa.binary()), runs], names=["doc_id", "row", "tkey", "n_words", "whole", "runs"])
-
-    return arrow_map(rows, run, f"doc_id long, row long, tkey long, n_words long, whole binary, runs {RUNS}")
-
-
-def packed_strings(rows: DataFrame, window: int) -> DataFrame:
-    """A row for each packed string of (row, tkey, runs, text): its digest, minimiser, place and words."""
-    schema = "row long, tkey long, mini long, hot boolean, start int, n int, da long, db long, packed binary"
+                offsets = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (key.view(np.int64), start.astype(np.int32), n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "row", "tkey")), pa.array(words.counts), pa.array(whole, pa.binary()), *lists], names=["doc_id", "row", "tkey", "n_words", "whole", "minis", "starts", "sizes"])
+
+    return arrow_map(rows, run, "doc_id long, row long, tkey long, n_words long, whole binary, minis array<long>, starts array<int>, sizes array<int>")
+
+
+def cut_runs(words: list[bytes], runs: list[dict], window: int, gram: int) -> list[tuple[int, int, int, int]]:
+    """(bucket, level, start, windows) of a text's super-k-mers, those of level 1 and 2 cut further."""
+    out = [(r["mini"], 0, r["start"], r["n"]) for r in runs if r["level"] == 0]
+    if len(out) == len(runs):
+        return out
+    hashes = Words(pa.array([b" ".join(words)], pa.binary()).cast(pa.string()), lower=False).hashes()
+    least = least_of(gram_hashes(hashes, gram, seed=2), window - gram + 1)
+    for r in runs:
+        if r["level"] == 2:
+            out += [(r["mini"], 2, r["start"] + k, 1) for k in range(r["n"])]
+        elif r["level"] == 1:
+            own = least[r["start"] : r["start"] + r["n"]]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            key = mix(own[first] ^ np.uint64(r["mini"] & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+            out += zip(key.tolist(), [1] * len(first), (r["start"] + first).tolist(), np.diff(np.append(first, r["n"])).tolist(), strict=True)
+    return out
+
+
+def packed_strings(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """A row for each packed string of (row, tkey, runs, text): its bucket, place, digest and words (deflated)."""
+    schema = "row long, tkey long, bucket long, alone boolean, start int, n int, da long, db long, packed binary"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    names = ["row", "tkey", "mini", "hot", "start", "n", "da", "db", "packed"]
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -92,13 +112,11 @@ def packed_strings(rows: DataFrame, window: int) -> DataFrame:
             for part in slices(batch):
                 for row, tkey, runs, text in zip(*(part.column(c).to_pylist() for c in ("row", "tkey", "runs", "text")), strict=True):
                     words = text.encode().split()
-                    for r in runs:
-                        starts = [(r["start"] + k, 1) for k in range(r["n"])] if r["hot"] else [(r["start"], r["n"])]
-                        for start, n in starts:
-                            packed = b" ".join(words[start : start + n + window - 1])
-                            digest = xxhash.xxh3_128_digest(packed)
-                            out.append((row, tkey, r["mini"], r["hot"], start, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), packed))
-                            size += len(packed)
+                    for bucket, level, start, n in cut_runs(words, runs, window, gram):
+                        packed = b" ".join(words[start : start + n + window - 1])
+                        digest = xxhash.xxh3_128_digest(packed)
+                        out.append((row, tkey, bucket, level == 2, start, n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), zlib.compress(packed, 6)))
+                        size += len(packed)
                     if size > CHUNK:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)], names=names)
                         out, size = [], 0
@@ -139,7 +157,7 @@ def least_documents(strings: list[str], rows: np.ndarray, sizes: np.ndarray, win
 
 
 def bucket_windows(strings: DataFrame, window: int) -> DataFrame:
-    """(da, db, least): strings (mini, n, da, db, packed, first) come sorted by minimiser within each partition."""
+    """(da, db, least): strings (bucket, n, da, db, packed, first) come sorted by bucket within each partition."""
 
     def done(held: list[tuple]) -> pa.RecordBatch:
         least = least_documents([h[4] for h in held], np.array([h[5] for h in held], np.int64), np.array([h[1] for h in held], np.int64), window)
@@ -149,12 +167,12 @@ def bucket_windows(strings: DataFrame, window: int) -> DataFrame:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("mini", "n", "da", "db", "packed", "first")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "da", "db", "packed", "first")), strict=True):
                 if size > CHUNK and row[0] != last:
                     yield done(held)
                     held, size = [], 0
-                held.append(row)
-                size, last = size + len(row[4]), row[0]
+                held.append((*row[:4], zlib.decompress(row[4]).decode(), row[5]))
+                size, last = size + len(held[-1][4]), row[0]
         if held:
             yield done(held)
 
@@ -182,7 +200,7 @@ def _shortened(rows: DataFrame, window: int) -> DataFrame:
     return arrow_map(rows, run, "row long, tkey long, n_removed long, kept binary")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gram2: int = GRAM2, hot: tuple[int, int] = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256.
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id, as the
@@ -192,18 +210,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tkey", F.xxhash64("text"))
     summary = checkpointed(summaries(rows, window, gram))
-    runs = summary.select("row", "tkey", F.explode("runs").alias("run")).select("row", "tkey", "run.mini", "run.start", "run.n")
+    parts = F.explode(F.arrays_zip("minis", "starts", "sizes")).alias("r")
+    runs = summary.select("row", "tkey", parts).select("row", "tkey", F.xxhash64("r.minis").alias("mini"), F.col("r.starts").alias("start"), F.col("r.sizes").alias("n"))
     shared = runs.groupBy("mini").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.count(F.lit(1)).alias("places")).where("low <> high")
-    shared = shared.select(F.xxhash64("mini").alias("key"), F.col("mini").alias("shared_mini"), (F.col("places") > hot).alias("hot"))
-    dealt = runs.withColumn("key", F.xxhash64("mini"))
-    needed = dealt.join(shared, (dealt["key"] == shared["key"]) & (dealt["mini"] == shared["shared_mini"]))
-    wanted = needed.groupBy("row", "tkey").agg(F.collect_set(F.struct("mini", "start", "n", "hot")).alias("runs"))
+    level = F.when(F.col("places") > hot[1], 2).when(F.col("places") > hot[0], 1).otherwise(0)
+    # dealt by a key that the grouping does not know, so the places of a common minimiser can be split
+    shared = shared.select(F.xxhash64("mini").alias("key"), level.alias("level"))
+    needed = runs.withColumn("key", F.xxhash64("mini")).join(shared, "key").withColumnRenamed("key", "bucket")
+    wanted = needed.groupBy("row", "tkey").agg(F.collect_set(F.struct(F.col("bucket").alias("mini"), "start", "n", "level")).alias("runs"))
     texts = rows.select("row", "tkey", "text")
-    pieces = packed_strings(wanted.join(texts, ["row", "tkey"]), window)
-    pieces = checkpointed(pieces)
-    strings = pieces.groupBy("mini", "hot", "n", "da", "db", "packed").agg(F.min("row").alias("first"))
-    alone = strings.where("hot").select("da", "db", F.array("first").alias("least"))
-    bucketed = strings.where(~F.col("hot")).select("mini", "n", "da", "db", F.col("packed").cast("string").alias("packed"), "first").repartition("mini").sortWithinPartitions("mini")
+    pieces = checkpointed(packed_strings(wanted.join(texts, ["row", "tkey"]), window, gram2))
+    strings = pieces.groupBy("bucket", "alone", "n", "da", "db", "packed").agg(F.min("row").alias("first"))
+    alone = strings.where("alone").select("da", "db", F.array("first").alias("least"))
+    bucketed = strings.where("not alone").select("bucket", "n", "da", "db", "packed", "first").repartition("bucket").sortWithinPartitions("bucket")
     least = alone.union(bucket_windows(bucketed, window))
     least = least.select(F.xxhash64("da", "db").alias("key"), F.col("da").alias("la"), F.col("db").alias("lb"), "least")
     places = pieces.select("row", "tkey", "start", "da", "db").withColumn("key", F.xxhash64("da", "db"))
