@@ -81,7 +81,7 @@ def taker_fee(size: Column, price: Column, rate_ppm: Column, exponent: int) -> C
     for _ in range(exponent):
         top, bottom = d(top * curve), bottom * 10**8
     top = d(top * 10**5)
-    return F.floor(d(2 * top + F.lit(bottom).cast("decimal(38,0)")) / F.lit(2 * bottom).cast("decimal(38,0)")).cast("long")
+    return F.floor(d(2 * top + F.lit(str(bottom)).cast("decimal(38,0)")) / F.lit(str(2 * bottom)).cast("decimal(38,0)")).cast("long")
 
 
 def section31_fee(notional_usd: Column, ppm: int) -> Column:

@@ -127,6 +127,8 @@ def sql(body: str, *tables: str) -> str:
     for t in tables:
         need(t)
     own = body.lstrip()
+    if not order:
+        return own
     more = own[5:] if own.startswith("with ") else None
     ctes = ", ".join(f"{n} as ({CTES[n]})" for n in order)
     return f"with {ctes}, {more}" if more else f"with {ctes} {own}"
