@@ -142,7 +142,7 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             table[a] -= out
             table[:, a] -= into
             table[a, a] -= own
-            left, right = table.sum(axis=1), table.sum(axis=0)
+            left, right = table.sum(axis=1) + into, table.sum(axis=0) + out  # whichever class it joins
             gain = (f(table + out[None, :]) - f(table)).sum(axis=1) + (f(table + into[:, None]) - f(table)).sum(axis=0)
             own_cell = np.diag(table)
             gain += f(own_cell + out + into + own) + f(own_cell) - f(own_cell + out) - f(own_cell + into)
