@@ -172,4 +172,4 @@ def lobster(messages: DataFrame, lives: DataFrame) -> DataFrame:
         .when(F.col("msg_type") == "U", F.array(gone, row(1, F.col("new_ref"), F.col("shares"), F.col("price"))))
     )
     told = joined.select("symbol", "seq", "ts_us", sign.alias("dir"), F.posexplode(rows).alias("part", "r"))
-    return told.select("symbol", "seq", F.col("part").cast("long").alias("part"), F.col("r.kind").cast("long").alias("kind"), F.col("r.id").alias("id"), F.col("r.size").alias("size"), F.col("r.price").alias("price"), F.col("dir").cast("long").alias("dir"))
+    return told.select("symbol", "seq", "ts_us", F.col("part").cast("long").alias("part"), F.col("r.kind").cast("long").alias("kind"), F.col("r.id").alias("id"), F.col("r.size").alias("size"), F.col("r.price").alias("price"), F.col("dir").cast("long").alias("dir"))

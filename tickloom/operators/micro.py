@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 from tickloom.functions import market as fm
 from tickloom.operators.asof import asof, grid
 
-W = Window.partitionBy("symbol").orderBy("seq")
-SOFAR = W.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_symbol() -> Window:
+    return Window.partitionBy("symbol").orderBy("seq")
+
+
+def so_far() -> Window:
+    return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def session(df: DataFrame, start_us: int, end_us: int, day_us: int = 86_400_000_000) -> DataFrame:
@@ -25,20 +30,20 @@ def session(df: DataFrame, start_us: int, end_us: int, day_us: int = 86_400_000_
 
 def trading_state(df: DataFrame, state: Column) -> DataFrame:
     """The state in force at each row: the last one told, 'T' before any."""
-    return df.withColumn("state", F.coalesce(F.last(state, ignorenulls=True).over(SOFAR), F.lit("T")))
+    return df.withColumn("state", F.coalesce(F.last(state, ignorenulls=True).over(so_far()), F.lit("T")))
 
 
 def changed_quotes(quotes: DataFrame) -> DataFrame:
     """Quotes that differ from the one before."""
     now = F.struct("bid_px", "bid_qty", "ask_px", "ask_qty")
-    return quotes.withColumn("__same", now.eqNullSafe(F.lag(now).over(W))).where(~F.col("__same")).drop("__same")
+    return quotes.withColumn("__same", now.eqNullSafe(F.lag(now).over(by_symbol()))).where(~F.col("__same")).drop("__same")
 
 
 def ofi_events(quotes: DataFrame) -> DataFrame:
     """The imbalance of each quote after its predecessor; an invalid quote on either side gives none."""
     names = ("bid_px", "bid_qty", "ask_px", "ask_qty")
-    now, last = [F.col(c) for c in names], [F.lag(c).over(W) for c in names]
-    ok = fm.valid_quote() & F.coalesce(F.lag(fm.valid_quote()).over(W), F.lit(False))
+    now, last = [F.col(c) for c in names], [F.lag(c).over(by_symbol()) for c in names]
+    ok = fm.valid_quote() & F.coalesce(F.lag(fm.valid_quote()).over(by_symbol()), F.lit(False))
     return quotes.select("symbol", "seq", "ts_us", fm.mid2().alias("mid2"), (F.col("bid_qty") + F.col("ask_qty")).alias("depth2"), F.when(ok, fm.ofi(*now, *last)).alias("ofi"))
 
 
@@ -88,7 +93,7 @@ def transitions(quotes: DataFrame, tick: int) -> DataFrame:
     """Counts of moves between the 20 states (10 imbalance buckets, spreads of 1 and 2 ticks) with the
     change of twice the mid, each counted again mirrored, so the table is symmetric."""
     s = quotes.withColumn("to", fm.state_of(10, 2, tick)).withColumn("mid2", fm.mid2()).where("to is not null")
-    s = s.withColumn("from", F.lag("to").over(W)).withColumn("d2", F.col("mid2") - F.lag("mid2").over(W)).where("from is not null")
+    s = s.withColumn("from", F.lag("to").over(by_symbol())).withColumn("d2", F.col("mid2") - F.lag("mid2").over(by_symbol())).where("from is not null")
     s = s.where((F.col("from") != F.col("to")) | (F.col("d2") != 0))
     flip = lambda c: (9 - F.col(c) % 10) + 10 * F.expr(f"`{c}` div 10")
     both = s.select("from", "to", "d2").union(s.select(flip("from"), flip("to"), -F.col("d2")))
@@ -129,8 +134,8 @@ def intraday_medians(quotes: DataFrame, bin_us: int, day_us: int = 86_400_000_00
 
 def eta(quotes: DataFrame) -> DataFrame:
     """Continuations and alternations of the mid's direction, and their ratio's half."""
-    m = quotes.withColumn("d", fm.mid2() - F.lag(fm.mid2()).over(W)).where("d <> 0").withColumn("s", F.signum("d"))
-    m = m.withColumn("last", F.lag("s").over(W)).where("last is not null")
+    m = quotes.withColumn("d", fm.mid2() - F.lag(fm.mid2()).over(by_symbol())).where("d <> 0").withColumn("s", F.signum("d"))
+    m = m.withColumn("last", F.lag("s").over(by_symbol())).where("last is not null")
     out = m.groupBy("symbol").agg(F.count(F.when(F.col("s") == F.col("last"), 1)).alias("same"), F.count(F.when(F.col("s") != F.col("last"), 1)).alias("turned"))
     return out.withColumn("eta", F.round(F.when(F.col("turned") > 0, F.col("same") / (2 * F.col("turned"))), 6))
 
@@ -157,7 +162,7 @@ def upper_median(df: DataFrame, x: str, by: list[str]) -> DataFrame:
 def markov_moves(quotes: DataFrame, buckets: int, spreads: int, tick: int, split_us: int) -> DataFrame:
     """Each quote's state, the one before, the mid's direction, the time spent before, and its period."""
     s = quotes.withColumn("state", fm.capped_state(buckets, spreads, tick)).withColumn("mid2", fm.mid2())
-    s = s.withColumn("before", F.lag("state").over(W)).withColumn("up", F.signum(F.col("mid2") - F.lag("mid2").over(W)).cast("long")).withColumn("held", F.col("ts_us") - F.lag("ts_us").over(W))
+    s = s.withColumn("before", F.lag("state").over(by_symbol())).withColumn("up", F.signum(F.col("mid2") - F.lag("mid2").over(by_symbol())).cast("long")).withColumn("held", F.col("ts_us") - F.lag("ts_us").over(by_symbol()))
     return s.where("before is not null and state is not null").select("symbol", "seq", "before", "state", "up", "held", (F.col("ts_us") < split_us).alias("fit"))
 
 
@@ -216,7 +221,7 @@ def best_execution(marked: DataFrame) -> DataFrame:
 
 def volume_buckets(trades: DataFrame, volume: int) -> DataFrame:
     """Buckets of equal volume; a trade is split over the buckets it spans. Only full buckets are given."""
-    cum = F.sum("shares").over(SOFAR)
+    cum = F.sum("shares").over(so_far())
     t = trades.withColumn("hi", cum).withColumn("lo", F.col("hi") - F.col("shares"))
     parts = t.withColumn("b", F.explode(F.sequence(F.expr(f"lo div {volume}"), F.expr(f"(hi - 1) div {volume}"))))
     part = F.least(F.col("hi"), (F.col("b") + 1) * volume) - F.greatest(F.col("lo"), F.col("b") * volume)
@@ -233,7 +238,7 @@ def vpin(buckets: DataFrame, volume: int, window: int) -> DataFrame:
 
 def mid_moves(quotes: DataFrame) -> DataFrame:
     """Changes of the mid: symbol, seq, ts_us, up."""
-    d = fm.mid2() - F.lag(fm.mid2()).over(W)
+    d = fm.mid2() - F.lag(fm.mid2()).over(by_symbol())
     return quotes.withColumn("d", d).where("d <> 0").select("symbol", "seq", "ts_us", F.signum("d").cast("long").alias("up"))
 
 

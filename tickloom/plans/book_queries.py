@@ -113,4 +113,4 @@ def l6_invariants(spark, sf_dir):
 @R.add(ad.sql("with m as (select m.*, o.side as own_side, o.price as own_price, o.shares - o.executed - o.cancelled as own_left from messages m left join orders_t o on m.symbol = o.symbol and m.ref = o.ref), e as (select *, case when coalesce(side, own_side) = 'B' then 1 else -1 end as dir from m) select symbol, seq, 0 as part, case msg_type when 'A' then 1 when 'X' then 2 when 'E' then 4 else 3 end as kind, ref as id, case when msg_type in ('D', 'U') then own_left else shares end as size, case when msg_type = 'A' then price else own_price end as price, dir from e union all select symbol, seq, 1, 1, new_ref, shares, price, dir from e where msg_type = 'U'", "orders_t"))
 def l9_lobster_events(spark, sf_dir):
     m = _messages(spark, sf_dir)
-    return book.lobster(m, book.order_lives(m))
+    return book.lobster(m, book.order_lives(m)).drop("ts_us")

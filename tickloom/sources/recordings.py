@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tickloom.functions.market import pm_price
 
@@ -24,8 +25,8 @@ def lines(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
 
 def events(raw: DataFrame) -> DataFrame:
     """Decoded events: a line holds one object or an array of them; ``part`` numbers those of a line."""
-    one = F.from_json("body", EVENT)
-    many = F.from_json("body", f"array<struct<{EVENT.replace(' string', ': string').replace(' array', ': array')}>>")
+    kind = StructType.fromDDL(EVENT)
+    one, many = F.from_json("body", kind), F.from_json("body", ArrayType(kind))
     both = F.when(F.trim("body").startswith("["), many).otherwise(F.array(one))
     return raw.withColumn("e", both).select("conn", "recv_ns", F.posexplode("e").alias("part", "e")).where("e.event_type is not null")
 
