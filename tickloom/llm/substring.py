@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, arrow_map, checkpointed, gram_hashes, mix, slices
+from .text import Words, arrow_map, checkpointed, gram_hashes, mix, only_likely, slices
 
 WINDOW, GRAM = 50, 12
 #: Words of the second minimiser's runs.
@@ -218,8 +218,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gram
     shared = shared.select(F.xxhash64("mini").alias("key"), level.alias("level"))
     needed = runs.withColumn("key", F.xxhash64("mini")).join(shared, "key").withColumnRenamed("key", "bucket")
     wanted = needed.groupBy("row", "tkey").agg(F.collect_set(F.struct(F.col("bucket").alias("mini"), "start", "n", "level")).alias("runs"))
+    wanted = checkpointed(wanted)
     texts = rows.select("row", "tkey", "text")
-    pieces = checkpointed(packed_strings(wanted.join(texts, ["row", "tkey"]), window, gram2))
+    pieces = checkpointed(packed_strings(wanted.join(only_likely(texts, wanted), ["row", "tkey"]), window, gram2))
     strings = pieces.groupBy("bucket", "alone", "n", "da", "db", "packed").agg(F.min("row").alias("first"))
     alone = strings.where("alone").select("da", "db", F.array("first").alias("least"))
     bucketed = strings.where("not alone").select("bucket", "n", "da", "db", "packed", "first").repartition("bucket").sortWithinPartitions("bucket")
@@ -229,7 +230,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gram
     told = places.join(least, (places["key"] == least["key"]) & (places["da"] == least["la"]) & (places["db"] == least["lb"]))
     hits = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("row"), F.col("start") + i)), lambda x: x.isNotNull())
     marks = told.select("row", "tkey", hits.alias("starts")).where(F.size("starts") > 0).groupBy("row", "tkey").agg(F.collect_list("starts").alias("starts"))
-    short = _shortened(marks.join(texts, ["row", "tkey"]), window).dropDuplicates(["row", "tkey"])
+    marks = checkpointed(marks)
+    short = _shortened(marks.join(only_likely(texts, marks), ["row", "tkey"]), window).dropDuplicates(["row", "tkey"])
     whole = summary.select("doc_id", "row", "tkey", "n_words", "whole")
     out = whole.join(short, ["row", "tkey"], "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.lower(F.hex(F.coalesce("kept", "whole"))).alias("kept_sha256"))

@@ -123,6 +123,37 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits of the filter in ``only_likely``: 16 MB, whatever the number of keys.
+FILTER_BITS = 1 << 27
+
+
+def only_likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows (row, tkey, text) without most of those whose (row, tkey) is not among ``keys``.
+
+    A Bloom filter of fixed size goes ahead of a join, so that texts which cannot match do not travel.
+    It never drops a match; the more keys it holds, the more others pass as well.
+    """
+    spark = rows.sparkSession
+    hashed = F.xxhash64("row", "tkey")
+    places = F.explode(F.array(*[F.pmod(F.shiftrightunsigned("h", k), F.lit(FILTER_BITS)) for k in (0, 31)]))
+    words = keys.select(hashed.alias("h")).select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[np.asarray(words.column("w"))] = np.asarray(words.column("b"))
+    shared = spark.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.view(np.uint64)
+        for batch in batches:
+            h = np.asarray(batch.column("h")).view(np.uint64)
+            ok = np.ones(len(h), bool)
+            for k in (0, 31):
+                p = (h >> np.uint64(k)).view(np.int64) % FILTER_BITS
+                ok &= (table[p >> 6] >> (p % 64).astype(np.uint64)) & np.uint64(1) == 1
+            yield batch.filter(pa.array(ok)).drop_columns(["h"])
+
+    return arrow_map(rows.select("row", "tkey", "text", hashed.alias("h")), run, "row long, tkey long, text string")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
