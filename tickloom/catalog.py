@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import book_queries, kernel_queries, market_queries, micro_queries
+from tickloom.plans import book_queries, kernel_queries, market_queries, micro_queries, study_queries
 from tickloom.plans.registry import Query
 
-MODULES = (book_queries, micro_queries, market_queries, kernel_queries)
+MODULES = (book_queries, micro_queries, market_queries, kernel_queries, study_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
