@@ -87,6 +87,21 @@ def test_near_duplicates_against_brute_force(odd):
     assert size == collections.Counter((i, len(s)) for i, s in docs)
 
 
+def test_a_family_whose_original_is_not_its_hub(spark):
+    """Copies of one text that are like it but not like one another, all with smaller ids than it."""
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    data = []
+    for k in range(30):
+        own = list(base)
+        for i in r.sample(range(0, 400, 5), 11):
+            own[i] = f"new{k}_{i}"
+        data.append((k, " ".join(own)))
+    data.append((99, " ".join(base)))
+    got = frame(neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")))
+    assert {x["component_id"] for x in got} == {0}
+
+
 def test_signatures_estimate_similarity():
     r = random.Random(5)
     base = [f"w{r.randrange(5000)}" for _ in range(600)]

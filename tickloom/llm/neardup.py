@@ -5,7 +5,9 @@ picks a bin, the least hash in a bin is that bin's sample (one-permutation hashi
 takes over the sample of another that a fixed random sequence of bins finds first (optimal
 densification). Bands of samples are buckets; each bucket links its members to one hub, its smallest
 id, so a bucket of n gives n - 1 candidate edges. Every edge is then confirmed on the full sets of both
-texts. Documents with equal sets stand for one another from the start.
+texts. A bucket that still holds several components gets another star, from a member that the last hub
+is linked to, and so on until a round of stars finds no new link. Documents with equal sets stand for
+one another from the start.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import Words, arrow_map, checkpointed, gram_hashes, mix, slices
+from .text import Words, arrow_map, checkpointed, gram_hashes, mix, only_likely, slices
 
 SHINGLE = 5
 BANDS, ROWS = 48, 4
@@ -119,7 +121,9 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of the pairs (a, b) of ids, those whose full sets meet 100 * intersection >= percent * union."""
-    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("row"), F.lit(0).cast("long").alias("tkey")).distinct()
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("row"), F.lit(0).cast("long").alias("tkey"), "text")
+    texts = only_likely(texts, keys).select(F.col("row").alias("doc_id"), "text")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -145,6 +149,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
     return arrow_map(full.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
+def _next_pairs(crowd: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Another star in every bucket whose members (hubs so far gone) are in more than one component.
+
+    crowd: (bucket, member, hub) with the last hub. The next one is the smallest member that is linked
+    to the last, else the smallest; its pairs are with members of other components. Gives the crowd
+    without the new hubs, and the pairs that are new.
+    """
+    of = lambda name: labels.select(F.col("id").alias(f"{name}_id"), F.col("label").alias(f"{name}_label"))
+    told = crowd.join(of("member"), F.col("member") == F.col("member_id"), "left").join(of("hub"), F.col("hub") == F.col("hub_id"), "left")
+    told = checkpointed(told.select("bucket", "member", F.coalesce("member_label", "member").alias("label"), F.coalesce("hub_label", "hub").alias("hub_label")))
+    best = F.min(F.struct((F.col("label") != F.col("hub_label")).alias("apart"), "member", "label")).alias("h")
+    heads = told.groupBy("bucket").agg(best, F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    heads = heads.select(F.xxhash64("bucket").alias("key"), F.col("bucket").alias("head_bucket"), F.col("h.member").alias("hub"), F.col("h.label").alias("own"))
+    dealt = told.withColumn("key", F.xxhash64("bucket"))
+    rest = checkpointed(dealt.join(heads, (dealt["key"] == heads["key"]) & (dealt["bucket"] == heads["head_bucket"])).where("member <> hub").select("bucket", "member", "hub", "label", "own"))
+    pairs = rest.where("label <> own").select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct()
+    before = done.union(done.select("b", "a"))
+    return rest.select("bucket", "member", "hub"), checkpointed(pairs.join(before, ["a", "b"], "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -166,10 +190,20 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
     hubs = buckets.groupBy("bucket").agg(F.min("member").alias("hub"), F.max("member").alias("last")).where("hub <> last")
     hubs = hubs.select(F.xxhash64("bucket").alias("key"), F.col("bucket").alias("hub_bucket"), "hub")
     dealt = buckets.withColumn("key", F.xxhash64("bucket"))
-    star = dealt.join(hubs, (dealt["key"] == hubs["key"]) & (dealt["bucket"] == hubs["hub_bucket"])).where("member <> hub")
-    pairs = checkpointed(star.select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct())
+    crowd = checkpointed(dealt.join(hubs, (dealt["key"] == hubs["key"]) & (dealt["bucket"] == hubs["hub_bucket"])).where("member <> hub").select("bucket", "member", "hub"))
+    pairs = checkpointed(crowd.select(F.col("member").alias("a"), F.col("hub").alias("b")).distinct())
     links = checkpointed(confirmed(pairs, docs, percent))
     labels = components(links)
+    while True:
+        crowd, more = _next_pairs(crowd, labels, pairs)
+        if more.isEmpty():
+            break
+        found = checkpointed(confirmed(more, docs, percent))
+        if found.isEmpty():
+            break
+        pairs = checkpointed(pairs.union(more))
+        links = checkpointed(links.union(found))
+        labels = components(links)
     out = members.join(labels, members["rep"] == labels["id"], "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
