@@ -263,7 +263,7 @@ def test_search_against_brute_force(odd):
         idf = {w: max(0.0, math.log(1 + (n - d + 0.5) / (d + 0.5))) for w, d in df.items()}
         for q in {r[0] for r in rows() if r[0] is not None and r[0] % 4 == 0}:
             own = sum((c for (i, _), c in tf.items() if i == q), collections.Counter())
-            terms = sorted((w for w in own if df[w] >= 2), key=lambda w: (-own[w] * idf[w], w))[:16]
+            terms = sorted((w for w in own if df[w] >= 2), key=lambda w: (-(1 + math.log(own[w])) * idf[w], w))[:16]
             want = sorted(((-sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * size[i] / mean)) for w in terms if w in c), i) for i, c in tf.items() if any(w in c for w in terms)))[:3]
             assert [d for d, _ in got[q]] == [i[0] for _, i in want] or [s for _, s in got[q]] == [round(-s, 6) for s, _ in want]
 
