@@ -11,7 +11,6 @@ so no window needs padding. Windows of a tier are dealt to step groups of equal
 from __future__ import annotations
 
 import bisect
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -172,7 +171,3 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, end: int =
 
     return arrow_map(docs.select("doc_id", "text"), run, SCHEMA)
 
-
-def normal(text: str) -> str:
-    """What the word-level tokenizer makes of a text before it cuts it (for tests)."""
-    return unicodedata.normalize("NFC", text).lower()
