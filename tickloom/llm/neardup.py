@@ -214,3 +214,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.select(F.struct("*").alias("__row"))
     return rows.join(kept, F.col("__row.doc_id").eqNullSafe(F.col("__id")), "left_semi").select("__row.*")
+
+
+SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from words where len(w) > 0)
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2
+), links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)
+), steps as (
+  select a, b from links union select b, a from links
+), reach(doc, c) as (
+  select a, a from steps union select s.b, r.c from reach r join steps s on s.a = r.doc
+), labels as (
+  select doc, min(c) as c from reach group by doc
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, d.doc_id) as component_id, coalesce(c, d.doc_id) = d.doc_id as kept
+from documents d left join sizes on sizes.doc_id = d.doc_id left join labels on labels.doc = d.doc_id
+"""

@@ -55,4 +55,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_lm_scores, op4_license_scan, op5_mixing, op6_topk_search, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_token_counts)
 }
-SQL: dict[str, str] = {"op7_substring_dedup": substring.SQL, "op8_exact_dedup": exactdup.SQL}
+SQL: dict[str, str] = {"op1_near_dedup": neardup.SQL, "op7_substring_dedup": substring.SQL, "op8_exact_dedup": exactdup.SQL}
