@@ -93,7 +93,7 @@ def l1_rejected(spark, sf_dir):
 EDGES = (DAY_US // 4, DAY_US // 2, DAY_US, 2 * DAY_US, 4 * DAY_US)
 
 
-@R.add(ad.sql("select bin, count(*) as orders, cast(sum(case when executed > 0 then 1 else 0 end) as bigint) as traded from (select executed, case when end_ts is null then -1 " + " ".join(f"when end_ts - add_ts < {e} then {k}" for k, e in enumerate(EDGES)) + " else 5 end as bin from orders_t) group by bin", "orders_t"))
+@R.add(ad.sql("select cast(bin as bigint) as bin, count(*) as orders, cast(sum(case when executed > 0 then 1 else 0 end) as bigint) as traded from (select executed, case when end_ts is null then -1 " + " ".join(f"when end_ts - add_ts < {e} then {k}" for k, e in enumerate(EDGES)) + " else 5 end as bin from orders_t) group by bin", "orders_t"))
 def a8_lifetimes(spark, sf_dir):
     return book.lifetimes(_book(spark, sf_dir)[1], EDGES)
 
@@ -110,7 +110,7 @@ def l6_invariants(spark, sf_dir):
     return book.invariants(deltas, lives)
 
 
-@R.add(ad.sql("with m as (select m.*, o.side as own_side, o.price as own_price, o.shares - o.executed - o.cancelled as own_left from messages m left join orders_t o on m.symbol = o.symbol and m.ref = o.ref), e as (select *, case when coalesce(side, own_side) = 'B' then 1 else -1 end as dir from m) select symbol, seq, 0 as part, case msg_type when 'A' then 1 when 'X' then 2 when 'E' then 4 else 3 end as kind, ref as id, case when msg_type in ('D', 'U') then own_left else shares end as size, case when msg_type = 'A' then price else own_price end as price, dir from e union all select symbol, seq, 1, 1, new_ref, shares, price, dir from e where msg_type = 'U'", "orders_t"))
+@R.add(ad.sql("with m as (select m.*, o.side as own_side, o.price as own_price, o.shares - o.executed - o.cancelled as own_left from messages m left join orders_t o on m.symbol = o.symbol and m.ref = o.ref), e as (select *, case when coalesce(side, own_side) = 'B' then 1 else -1 end as dir from m) select symbol, seq, cast(0 as bigint) as part, cast(case msg_type when 'A' then 1 when 'X' then 2 when 'E' then 4 else 3 end as bigint) as kind, ref as id, case when msg_type in ('D', 'U') then own_left else shares end as size, case when msg_type = 'A' then price else own_price end as price, cast(dir as bigint) as dir from e union all select symbol, seq, 1, 1, new_ref, shares, price, dir from e where msg_type = 'U'", "orders_t"))
 def l9_lobster_events(spark, sf_dir):
     m = _messages(spark, sf_dir)
     return book.lobster(m, book.order_lives(m)).drop("ts_us")

@@ -251,7 +251,7 @@ def a26_daily_bars(spark, sf_dir):
 MODEL = "select seq, 1.0 + v % 100 as sv, 1.0 + seq % 50 as su, 0.05 + (v % 80) / 100.0 as p, 0.1 + (seq % 8) / 10.0 as mu from tape"
 
 
-@R.add(ad.sql(f"with m as ({MODEL}) select seq, round(su / sv, 6) as beta, round(sv / (2 * su), 6) as impact, round(100 + 10 * (p * (1 + mu) / 2) / (p * (1 + mu) / 2 + (1 - p) * (1 - mu) / 2), 6) as ask, round(100 + 10 * (p * (1 - mu) / 2) / (p * (1 - mu) / 2 + (1 - p) * (1 + mu) / 2), 6) as bid, round(100 - (v % 7 - 3) * 0.1 * 4 * 0.5, 6) as reservation, round(0.1 * 4 * 0.5 + 2 / 0.1 * ln(1 + 0.1 / 1.5), 6) as spread from m join tape using (seq)", "tape"))
+@R.add(ad.sql(f"with m as ({MODEL}) select seq, round(su / sv, 6) as beta, round(sv / (2 * su), 6) as impact, round(100 + 10 * (p * (1 + mu) / 2) / (p * (1 + mu) / 2 + (1 - p) * (1 - mu) / 2), 6) as ask, round(100 + 10 * (p * (1 - mu) / 2) / (p * (1 - mu) / 2 + (1 - p) * (1 + mu) / 2), 6) as bid, round(100 - (v % 7 - 3) * 0.1::double * 4 * 0.5, 6) as reservation, round(0.1 * 4 * 0.5 + 2 / 0.1 * ln(1 + 0.1 / 1.5), 6) as spread from m join tape using (seq)", "tape"))
 def e28_models(spark, sf_dir):
     t = ad.tape(ad.events(spark, sf_dir)).withColumn("sv", 1.0 + F.col("v") % 100).withColumn("su", 1.0 + F.col("seq") % 50).withColumn("p", 0.05 + (F.col("v") % 80) / 100.0).withColumn("mu", 0.1 + (F.col("seq") % 8) / 10.0)
     k = models.kyle(F.col("sv"), F.col("su"))

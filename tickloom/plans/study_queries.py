@@ -12,7 +12,7 @@ from tickloom.plans.registry import Registry
 R = Registry()
 
 
-@R.add(ad.sql("with lv as (select symbol, seq, side, price, sum(dqty) over (partition by symbol, side, price order by seq rows unbounded preceding) - dqty as ahead from (select symbol, seq, side, price, sum(dqty) as dqty from deltas group by all)), ff as (select symbol, ref, min(seq) as fill_seq, arg_min(ts_us, seq) as fill_ts from messages where msg_type = 'E' group by all), j as (select o.*, ahead, fill_seq, fill_ts from orders_t o join lv on o.symbol = lv.symbol and o.add_seq = lv.seq and o.side = lv.side and o.price = lv.price left join ff on o.symbol = ff.symbol and o.ref = ff.ref) select case when ahead <= 0 then 0 when ahead <= 100 then 1 when ahead <= 300 then 2 when ahead <= 1000 then 3 when ahead <= 3000 then 4 else 5 end as bucket, count(*) as orders, count(fill_seq) as traded, round(avg((fill_ts - add_ts) / 1e6), 3) as mean_wait_s from j group by 1", "deltas"))
+@R.add(ad.sql("with lv as (select symbol, seq, side, price, sum(dqty) over (partition by symbol, side, price order by seq rows unbounded preceding) - dqty as ahead from (select symbol, seq, side, price, sum(dqty) as dqty from deltas group by all)), ff as (select symbol, ref, min(seq) as fill_seq, arg_min(ts_us, seq) as fill_ts from messages where msg_type = 'E' group by all), j as (select o.*, ahead, fill_seq, fill_ts from orders_t o join lv on o.symbol = lv.symbol and o.add_seq = lv.seq and o.side = lv.side and o.price = lv.price left join ff on o.symbol = ff.symbol and o.ref = ff.ref) select cast(case when ahead <= 0 then 0 when ahead <= 100 then 1 when ahead <= 300 then 2 when ahead <= 1000 then 3 when ahead <= 3000 then 4 else 5 end as bigint) as bucket, count(*) as orders, count(fill_seq) as traded, round(avg((fill_ts - add_ts) / 1e6), 3) as mean_wait_s from j group by 1", "deltas"))
 def a9_queue_positions(spark, sf_dir):
     m = ad.messages(quotes(spark, sf_dir))
     lives = book.order_lives(m)
