@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import Words, arrow_map, checkpointed, gram_hashes, mix, only_likely, slices
+from .text import Words, arrow_map, checkpointed, gram_hashes, mix, only_likely, release, slices
 
 SHINGLE = 5
 BANDS, ROWS = 48, 4
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
         pairs = checkpointed(pairs.union(more))
         links = checkpointed(links.union(found))
         labels = components(links)
+        release(docs.sparkSession)
     out = members.join(labels, members["rep"] == labels["id"], "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -7,6 +7,7 @@ batch size and however long a single text is.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -123,6 +124,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle and checkpoint files of tables that nothing refers to any more, as between rounds of a loop."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Bits of the filter in ``only_likely``: 16 MB, whatever the number of keys.
 FILTER_BITS = 1 << 27
 
