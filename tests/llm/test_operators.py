@@ -268,6 +268,36 @@ def test_search_against_brute_force(odd):
             assert [d for d, _ in got[q]] == [i[0] for _, i in want] or [s for _, s in got[q]] == [round(-s, 6) for s, _ in want]
 
 
+@pytest.mark.parametrize(("shard_docs", "few_terms", "pairs"), [(8, 16, 2_000_000), (8, 0, 300), (1000, 10**6, 2_000_000)])
+def test_the_search_query_scores_every_term(odd, monkeypatch, shard_docs, few_terms, pairs):
+    """The registered query, with its own settings, against BM25 over all distinct words of every query."""
+    from tickloom.llm import queries
+
+    real = search.search
+
+    def small(docs, asked, how=None):
+        how = how or search.Settings()
+        how.shard_docs, how.block, how.few_terms, how.broadcast_pairs, how.k = shard_docs, 2, few_terms, pairs, 5
+        return real(docs, asked, how)
+
+    monkeypatch.setattr(queries, "documents", lambda spark, sf_dir: odd.withColumn("doc_id", odd["doc_id"] * 4))
+    monkeypatch.setattr(search, "search", small)
+    got = collections.defaultdict(list)
+    for r in queries.op6_topk_search(odd.sparkSession, "").orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"], 6)))
+    docs = [(i * 4, collections.Counter(words(t))) for i, t, *_ in rows() if i is not None and t is not None]
+    mean = sum(sum(c.values()) for _, c in docs) / len(docs)
+    df = collections.Counter(w for _, c in docs for w in c)
+    idf = {w: math.log(1 + (len(docs) - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+    asked = {i for i, _ in docs if i % 20 == 0}
+    assert max(len({w for i, c in docs if i == q for w in c}) for q in asked) > 40
+    for q in asked:
+        terms = {w for i, c in docs if i == q for w in c}
+        scored = [(i, sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in terms if w in c)) for i, c in docs]
+        want = sorted((-round(x, 6), i) for i, x in scored if x > 0)[:5]
+        assert sorted((-x, i) for i, x in got[q]) == want
+
+
 def test_substrings_against_brute_force(odd):
     docs = [(r[0], words(r[1], lower=False)) for r in rows()]
     least = {}

@@ -33,7 +33,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return search.search(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+    return search.search(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), search.Settings(query_terms=None, least_docs=1))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
