@@ -87,6 +87,32 @@ def test_near_duplicates_against_brute_force(odd):
     assert size == collections.Counter((i, len(s)) for i, s in docs)
 
 
+def test_a_template_crowd_against_brute_force(spark):
+    """One bucket of texts on a template, just unlike; links are between late ids, after a star that finds none."""
+    r = random.Random(5)
+    template = [f"w{k}" for k in range(400)]
+
+    def changed(base, name, n):
+        own = list(base)
+        for i in r.sample(range(0, 400, 5), n):
+            own[i] = f"{name}_{i}"
+        return own
+
+    texts = [changed(template, f"own{k}", 8) for k in range(40)]
+    texts += [changed(texts[k], f"copy{k}", 10) for k in range(30, 40)]
+    least = neardup.signatures(*neardup.shingle_sets(pa.array([" ".join(t) for t in [template, *texts]])), 1)[:, 0]
+    texts = [t for t, x in zip(texts, least[1:], strict=True) if x == least[0]]
+    sets = [{tuple(t[i : i + 5]) for i in range(396)} for t in texts]
+    links = [(j, i) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    top = list(range(len(texts)))
+    for i, j in links:
+        low, high = sorted((top[i], top[j]))
+        top = [low if x == high else x for x in top]
+    assert len(links) >= 3 and min(i for i, _ in links) >= 2
+    got = frame(neardup.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), bands=1, rows=1))
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(top))
+
+
 def test_a_family_whose_original_is_not_its_hub(spark):
     """Copies of one text that are like it but not like one another, all with smaller ids than it."""
     r = random.Random(12)

@@ -6,8 +6,9 @@ takes over the sample of another that a fixed random sequence of bins finds firs
 densification). Bands of samples are buckets; each bucket links its members to one hub, its smallest
 id, so a bucket of n gives n - 1 candidate edges. Every edge is then confirmed on the full sets of both
 texts. A bucket that still holds several components gets another star, from a member that the last hub
-is linked to, and so on until a round of stars finds no new link. Documents with equal sets stand for
-one another from the start.
+is linked to, and so on until a round of stars finds no new link. What then still shares a bucket with
+another component is compared by an exact join on the rarest shingles of each text, which no link among
+them escapes. Documents with equal sets stand for one another from the start.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -169,6 +170,43 @@ def _next_pairs(crowd: DataFrame, labels: DataFrame, done: DataFrame) -> tuple[D
     return rest.select("bucket", "member", "hub"), checkpointed(pairs.join(before, ["a", "b"], "left_anti"))
 
 
+def _rest_pairs(crowd: DataFrame, labels: DataFrame, done: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) not in ``done`` that may be links between components, of the members that the stars left.
+
+    Those are the members of buckets with several components. Shingles are put in one order, rare ones
+    first. Two sets that meet the share have a shingle in common among the first of both, as many as leave
+    less than that share of the set; from the first common one on, what is left must be long enough.
+    """
+    of = labels.select(F.col("id").alias("of_id"), F.col("label").alias("of_label"))
+    told = crowd.join(of, F.col("member") == F.col("of_id"), "left").select("bucket", "member", F.coalesce("of_label", "member").alias("label"))
+    mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.xxhash64("bucket").alias("key"), F.col("bucket").alias("mixed"))
+    dealt = told.withColumn("key", F.xxhash64("bucket"))
+    left = checkpointed(dealt.join(mixed, (dealt["key"] == mixed["key"]) & (dealt["bucket"] == mixed["mixed"])).select(F.col("member").alias("row"), "label").distinct())
+    none = F.lit(0).cast("long").alias("tkey")
+    texts = only_likely(docs.where("doc_id is not null").select(F.col("doc_id").alias("row"), none, "text"), left.select("row", none))
+    texts = texts.join(left, "row").select("row", "label", "text").distinct().withColumn("tkey", F.xxhash64("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, MOST_TEXTS):
+                for part in slices(batch.slice(start, MOST_TEXTS)):
+                    bounds, hashes = shingle_sets(part.column("text"))
+                    size = np.diff(bounds)
+                    owner = pa.array(np.repeat(np.arange(len(size)), size))
+                    columns = [part.column(c).take(owner) for c in ("row", "tkey", "label")]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(size, size).astype(np.int64)), pa.array(hashes.view(np.int64))], names=["row", "tkey", "label", "n", "shingle"])
+
+    shingles = checkpointed(arrow_map(texts, run, "row long, tkey long, label long, n long, shingle long"))
+    df = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
+    placed = shingles.join(df, "shingle").withColumn("at", F.row_number().over(Window.partitionBy("row", "tkey").orderBy("df", "shingle")))
+    first = checkpointed(placed.where((F.col("at") <= F.expr(f"n - ({percent} * n + 99) div 100 + 1")) & (F.col("df") > 1)).select("row", "label", "n", "shingle", "at"))
+    a, b = (first.select(F.col("shingle").alias(f"{x}_shingle"), *[F.col(c).alias(f"{x}_{c}") for c in ("row", "label", "n", "at")]) for x in "ab")
+    both = a.join(b, (F.col("a_shingle") == F.col("b_shingle")) & (F.col("a_row") > F.col("b_row")) & (F.col("a_label") != F.col("b_label")))
+    enough = F.expr(f"{100 + percent} * (1 + least(a_n - a_at, b_n - b_at)) >= {percent} * (a_n + b_n)")
+    pairs = both.where(enough & F.expr(f"{percent} * greatest(a_n, b_n) <= 100 * least(a_n, b_n)")).select(F.col("a_row").alias("a"), F.col("b_row").alias("b")).distinct()
+    return checkpointed(pairs.join(done.union(done.select("b", "a")), ["a", "b"], "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -205,6 +243,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, perce
         links = checkpointed(links.union(found))
         labels = components(links)
         release(docs.sparkSession)
+    more = _rest_pairs(crowd, labels, pairs, docs, percent)
+    if not more.isEmpty():
+        found = checkpointed(confirmed(more, docs, percent))
+        if not found.isEmpty():
+            labels = components(links.union(found))
     out = members.join(labels, members["rep"] == labels["id"], "left")
     component = F.coalesce("label", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
