@@ -16,3 +16,14 @@ def test_query(spark, sf_dir, name):
         assert not oracle.differences(got, oracle.database(sf_dir).execute(SQL[name]).df())
     else:
         assert len(got)
+
+
+def test_self_excitation_fits_every_week(spark, sf_dir):
+    from tickloom.plans import adapters
+
+    t = adapters.tape(adapters.events(spark, sf_dir)).select("symbol", "ts_us").toPandas()
+    size = t.groupby([t["symbol"] % 5, t["ts_us"] // (7 * 86_400_000_000)]).size()
+    want = {k for k, n in size.items() if n >= 50}
+    got = catalog.queries()["e9_self_excitation"](spark, sf_dir).toPandas()
+    assert len({w % 4 for _, w in want}) > 1
+    assert set(zip(got["pool"], got["week"], strict=True)) == want

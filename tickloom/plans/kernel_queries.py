@@ -64,7 +64,7 @@ def e19_cross_asset_momentum(spark, sf_dir):
 def e9_self_excitation(spark, sf_dir):
     t = ad.tape(ad.events(spark, sf_dir))
     week = 7 * 86_400_000_000
-    times = t.select((F.col("symbol") % 5).alias("pool"), F.expr(f"ts_us div {week}").alias("week"), ((F.col("ts_us") % week) / 1e6).alias("t")).where("week % 4 = 0")
+    times = t.select((F.col("symbol") % 5).alias("pool"), F.expr(f"ts_us div {week}").alias("week"), ((F.col("ts_us") % week) / 1e6).alias("t"))
     out = kernels.hawkes(times, ["pool", "week"], 50, week / 1e6)
     return out.select("pool", "week", "n", F.round("branching", 4).alias("branching"))
 
