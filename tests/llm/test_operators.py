@@ -324,6 +324,11 @@ def test_the_search_query_scores_every_term(odd, monkeypatch, shard_docs, few_te
         assert sorted((-x, i) for i, x in got[q]) == want
 
 
+@pytest.mark.parametrize("text", [b"(c) 2019 Jane Doe", b"(C) 1998 Acme", b"copyright 2019 Jane Doe"])
+def test_every_copyright_form_passes_its_gate(text):
+    assert "copyright" in license.scan(text)[5]
+
+
 def test_substrings_against_brute_force(odd):
     docs = [(r[0], words(r[1], lower=False)) for r in rows()]
     least = {}

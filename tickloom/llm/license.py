@@ -96,7 +96,7 @@ NOTICES = (
     ("gpl", 1, r"general public license", "general public"),
     ("cc-by", 1, r"cc by", "cc by"),
     ("copyright", 2, r"copyright (?:c )?(?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*", "copyright"),
-    ("copyright", 1, r"(?:c|copyright) (?:19|20)[0-9]{2} [^ ]+", "copyright"),
+    ("copyright", 1, r"(?:c|copyright) (?:19|20)[0-9]{2} [^ ]+", " c 19| c 20|copyright"),
     ("proprietary", 4, r"proprietary and confidential|confidential and proprietary", "confidential"),
     ("proprietary", 4, r"unauthorized (?:copying|use|reproduction) (?:of this [^ ]+ )?is (?:strictly )?prohibited", "unauthorized"),
     ("proprietary", 3, r"no part of this [^ ]+ may be reproduced", "reproduced"),
