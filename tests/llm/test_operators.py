@@ -87,8 +87,11 @@ def test_near_duplicates_against_brute_force(odd):
     assert size == collections.Counter((i, len(s)) for i, s in docs)
 
 
-def test_a_template_crowd_against_brute_force(spark):
+@pytest.mark.parametrize("docs,shingles", [(2048, 1 << 20), (3, 1 << 20), (2048, 2000)])
+def test_a_template_crowd_against_brute_force(spark, monkeypatch, docs, shingles):
     """One bucket of texts on a template, just unlike; links are between late ids, after a star that finds none."""
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     r = random.Random(5)
     template = [f"w{k}" for k in range(400)]
 
@@ -113,6 +116,39 @@ def test_a_template_crowd_against_brute_force(spark):
     assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(top))
 
 
+def test_a_large_template_crowd_keeps_every_link(spark):
+    """Hundreds of texts at a similarity just below the share, with links among them that no hub has."""
+    r = random.Random(8)
+    template = [f"w{k}" for k in range(300)]
+
+    def changed(base, name, n):
+        own = list(base)
+        for i in r.sample(range(0, 300, 5), n):
+            own[i] = f"{name}_{i}"
+        return own
+
+    texts = [changed(template, f"own{k}", 7) for k in range(400)]
+    texts += [changed(texts[k], f"copy{k}", 7) for k in range(250, 400)]
+    sets = [{tuple(t[i : i + 5]) for i in range(296)} for t in texts]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if top[i] != top[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((top[i], top[j]))
+                top = [low if x == high else x for x in top]
+    assert 50 < len(set(top)) < len(top) - 50
+    got = frame(neardup.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")))
+    assert {x["doc_id"]: x["component_id"] for x in got} == dict(enumerate(top))
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark):
+    t, u, v = "one two three four five six", "seven eight nine ten eleven", "a b c d e f g"
+    schema = "doc_id long, text string"
+    kept = lambda data: sorted(map(repr, (tuple(r) for r in neardup.keep_one(spark.createDataFrame(data, schema)).collect())))
+    assert kept([(1, t), (None, t), (None, u)]) == ["(1, '%s')" % t, "(None, '%s')" % u]
+    assert kept([(None, t), (None, t.upper()), (2, u), (3, u), (3, v)]) in ([repr((2, u)), repr((3, v)), repr((None, x))] for x in (t, t.upper()))
+
+
 def test_a_family_whose_original_is_not_its_hub(spark):
     """Copies of one text that are like it but not like one another, all with smaller ids than it."""
     r = random.Random(12)
