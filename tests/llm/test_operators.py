@@ -284,16 +284,19 @@ def test_mixing_meets_its_marginals(spark):
     assert all(0 <= r["probability"] <= 1 for r in got)
 
 
-def test_raking_against_brute_force(spark):
-    cells = {(s, l, t): 1 + (7 * i + 3 * j + 5 * k) % 11 for i, s in enumerate("abc") for j, l in enumerate(("en", "de")) for k, t in enumerate(("x", "y"))}
+@pytest.mark.parametrize("pairs,rounds", [(2048, 60), (1, 3)])
+def test_raking_against_brute_force(spark, monkeypatch, pairs, rounds):
+    monkeypatch.setattr(mixing, "MOST_PAIRS", pairs)  # by the driver's factors, and in tables
+    cells = {(s, l, t): 1 + (7 * i + 3 * j + 5 * k) % 11 for i, s in enumerate(("a", "b", None)) for j, l in enumerate(("en", None)) for k, t in enumerate(("x", "y"))}
     narrow = spark.createDataFrame([(*k, v) for k, v in cells.items()], "src string, lng string, top string, tokens long")
-    found = mixing.fit(narrow, mixing.Mix(lang_shares={"en": 0.8, "de": 0.2}))
-    a = {r["src"]: r["a"] for r in found.sources.collect()}
+    found, scale = mixing.fit(narrow, mixing.Mix(source_shares={"a": 2.0}, lang_shares={"en": 40.0}, rounds=rounds))
+    got = {(r["src"], r["lng"], r["top"]): r["weight"] for r in found.collect()}
     w = {k: float(v) for k, v in cells.items()}
     total = sum(w.values())
-    marks = {0: {s: sum(v for k, v in cells.items() if k[0] == s) ** 0.7 for s in "abc"}, 1: {"en": 0.8, "de": 0.2}, 2: {t: sum(v for k, v in cells.items() if k[2] == t) ** 0.8 for t in "xy"}}
-    for _ in range(300):
-        for axis, want in marks.items():
+    marks = {axis: {x: sum(v for k, v in cells.items() if k[axis] == x) ** power for x in {k[axis] for k in cells}} for axis, power in ((0, 0.7), (1, 0.7), (2, 0.8))}
+    marks[0]["a"], marks[1]["en"] = 2.0, 40.0
+    for _ in range(rounds):
+        for axis, want in ((x, marks[x]) for x in (1, 2, 0)):
             z = sum(want.values())
             for label, x in want.items():
                 part = sum(v for k, v in w.items() if k[axis] == label)
@@ -301,7 +304,16 @@ def test_raking_against_brute_force(spark):
                     if k[axis] == label:
                         w[k] *= total * x / z / part
     for k, v in cells.items():
-        assert math.isclose(a[k[0]] * found.langs[k[1]] * found.topics[k[2]] * v, w[k], rel_tol=1e-4)
+        assert math.isclose(got[k] * v, w[k], rel_tol=1e-4)
+    assert math.isclose(sum(v * min(1, got[k] * scale) for k, v in cells.items()), 0.6 * total, rel_tol=1e-9)
+
+
+def test_a_tiny_source_does_not_shrink_the_others(spark):
+    data = [(k, "w " * 100, "en", "big") for k in range(400)] + [(1000 + k, "w", "en", f"tiny{k}") for k in range(3)]
+    got = frame(mixing.mix_documents(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")))
+    expected = sum(r["n_tokens"] * r["probability"] for r in got)
+    assert math.isclose(expected, 0.6 * sum(r["n_tokens"] for r in got), rel_tol=1e-6)
+    assert all(r["probability"] == 1 for r in got if r["source"] != "big")
 
 
 def test_search_against_brute_force(odd):
