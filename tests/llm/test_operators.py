@@ -209,6 +209,38 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [brute("▁ab"), brute("▁aba"), brute("▁az")])
 
 
+def test_predictions_against_a_plain_forward_algorithm(odd):
+    pieces, langs, p = langid.fitted(odd, PIECES)
+    number = {x: k for k, x in enumerate(pieces)}
+    assert langs == sorted({r[2] for r in rows() if r[2] and r[0] is not None and crc(r[0], 4) != 2})
+
+    def likely(word, q):
+        marked = langid.MARK + word
+        sums = [1.0] + [0.0] * len(marked)
+        for end in range(1, len(marked) + 1):
+            for start in range(end):
+                if (k := number.get(marked[start:end])) is not None:
+                    sums[end] += sums[start] * q[k]
+            if marked[end - 1] not in number:
+                sums[end] += sums[end - 1] * langid.UNKNOWN
+        return math.log(sums[-1])
+
+    def plain(text):
+        found = ["".join(c for c in w if c.isalpha()) for w in re.findall(r"[^\W\d_]{1,24}", (text or "").lower())]
+        found = [w for w in found if w]
+        if not found:
+            return "und", 0.0
+        total = [sum(n * likely(w, q) for w, n in collections.Counter(found).items()) for q in p]
+        best = max(range(len(langs)), key=lambda k: (total[k], -k))
+        return langs[best], 1 / sum(math.exp(t - total[best]) for t in total)
+
+    got = sorted(frame(langid.identify(odd, PIECES)), key=lambda r: (str(r["doc_id"]), r["lang_pred"], r["score"]))
+    want = sorted(((r[0], *plain(r[1])) for r in rows()), key=lambda w: (str(w[0]), w[1], w[2]))
+    for r, (i, lang, score) in zip(got, want, strict=True):
+        assert (r["doc_id"], r["lang_pred"]) == (i, lang) and math.isclose(r["score"], score, rel_tol=1e-6, abs_tol=1e-9)
+        assert r["held_out"] == (None if i is None else crc(i, 4) == 2)
+
+
 def test_base_scores_and_gain_of_the_class_model(odd):
     docs = [(r[0], [*words(r[1]), None]) for r in rows()]
     c = collections.Counter(w for i, t in docs if i is not None and crc(i, 5) != 1 for w in t)

@@ -3,7 +3,7 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is
 the sum over all ways to cut it into pieces, by the forward algorithm; a text's is the product over its
 words. The piece probabilities are learned by expectation-maximisation over the same lattices, on a
-bounded sample of labelled documents. Words are runs of at most ``LONGEST`` letters of the lower-cased
+bounded sample of labelled documents, of which every word counts. Words are runs of at most ``LONGEST`` letters of the lower-cased
 text, longer runs being cut.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import arrow_map, crc_mod, slices
@@ -23,7 +23,10 @@ from .text import arrow_map, crc_mod, slices
 LONGEST = 24
 #: Small slices keep the lattices in a core's cache.
 SLICE = 1_000_000
-MOST_PIECE = 14
+#: Characters of the longest piece that the lattice can hold; no public vocabulary here has longer ones.
+MOST_PIECE = 31
+#: Distinct words that are fitted at a time.
+FIT_WORDS = 20_000
 WORD = re.compile(r"[^\W\d_]{1,%d}" % LONGEST)
 MARK = "▁"
 UNKNOWN = 1e-7
@@ -32,11 +35,11 @@ BASE = np.uint64(0x100000001B3)
 
 @dataclass
 class Training:
-    """Bounds of the fit: labelled documents and distinct words kept for each language."""
+    """Bounds of the fit: labelled documents of each language; rounds, which end once the likelihood of a word gains less than ``tolerance``."""
 
     docs_per_language: int = 600
-    words_per_language: int = 8000
-    rounds: int = 4
+    rounds: int = 12
+    tolerance: float = 1e-3
     smoothing: float = 0.02
 
 
@@ -98,11 +101,11 @@ class Lattice:
                 ends.append(node[place[full]] + n), found.append(k[full]), lengths.append(np.full(int(full.sum()), n, np.int64))
         end, kind, length = np.concatenate(ends), np.concatenate(found), np.concatenate(lengths)
         first = np.repeat(nodes, size + 1)
-        key = ((end - first[end]) * 16 + length).astype(np.int16)
+        key = ((end - first[end]) * 32 + length).astype(np.int16)
         order = np.argsort(key, kind="stable")
         key, end, kind = key[order], end[order], kind[order]
         cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        groups = [(end[a:b], kind[a:b], int(key[a]) % 16) for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True)]
+        groups = [(end[a:b], kind[a:b], int(key[a]) % 32) for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True)]
         return nodes, size, groups
 
 
@@ -123,22 +126,29 @@ def learn(lattice: Lattice, counts: dict[str, dict[str, int]], how: Training) ->
     for lang in langs:
         words = sorted(counts[lang])
         weight = np.array([counts[lang][w] for w in words], float)
-        nodes, size, groups = lattice.arcs(words)
         p = np.full(lattice.n + 1, 1.0 / lattice.n)
         p[lattice.n] = UNKNOWN
+        likely = -np.inf
         for _ in range(how.rounds):
-            alpha = forward(nodes, size, groups, p[None])[0]
-            total = alpha[nodes + size]
-            beta = np.zeros(len(alpha))
-            beta[nodes + size] = weight / total
-            expected = np.zeros(lattice.n + 1)
-            for end, kind, length in reversed(groups):
-                part = beta[end] * p[kind]
-                expected += np.bincount(kind, alpha[end - length] * part, lattice.n + 1)
-                np.add.at(beta, end - length, part)
+            expected, found = np.zeros(lattice.n + 1), 0.0
+            for some in range(0, len(words), FIT_WORDS):
+                nodes, size, groups = lattice.arcs(words[some : some + FIT_WORDS])
+                times = weight[some : some + FIT_WORDS]
+                alpha = forward(nodes, size, groups, p[None])[0]
+                total = alpha[nodes + size]
+                found += float(times @ np.log(total))
+                beta = np.zeros(len(alpha))
+                beta[nodes + size] = times / total
+                for end, kind, length in reversed(groups):
+                    part = beta[end] * p[kind]
+                    expected += np.bincount(kind, alpha[end - length] * part, lattice.n + 1)
+                    np.add.at(beta, end - length, part)
             expected[lattice.n] = 0.0
-            p = ((expected + how.smoothing) / (expected[: lattice.n].sum() + how.smoothing * lattice.n))
+            p = (expected + how.smoothing) / (expected[: lattice.n].sum() + how.smoothing * lattice.n)
             p[lattice.n] = UNKNOWN
+            if found - likely < how.tolerance * weight.sum():
+                break
+            likely = found
         columns.append(p)
     return langs, np.stack(columns) if columns else np.zeros((0, lattice.n + 1))
 
@@ -152,7 +162,7 @@ def word_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[s
 
 def sample_counts(docs: DataFrame, how: Training) -> dict[str, dict[str, int]]:
     """Word counts by language over a hash sample of the training documents (see Training)."""
-    rows = docs.where("lang is not null and text is not null").where(crc_mod("doc_id", 4).isNull() | (crc_mod("doc_id", 4) != 2)).select("doc_id", "text", "lang")
+    rows = docs.where("lang is not null and text is not null").where(crc_mod("doc_id", 4) != 2).select("doc_id", "text", "lang")
     have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not have:
         return {}
@@ -169,9 +179,8 @@ def sample_counts(docs: DataFrame, how: Training) -> dict[str, dict[str, int]]:
                 yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(key // max(1, len(words)))).cast(pa.string()), pa.array([words[k] for k in key % max(1, len(words))], pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
     counted = arrow_map(rows.where(draw < share).select("lang", "text"), run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= how.words_per_language)
     out: dict[str, dict[str, int]] = {}
-    for r in top.select("lang", "word", "n").collect():
+    for r in counted.select("lang", "word", "n").toLocalIterator():  # the words of the bounded sample
         if r["word"].isalpha():
             out.setdefault(r["lang"], {})[r["word"]] = r["n"]
     return out
@@ -209,8 +218,9 @@ def identify(docs: DataFrame, path: str, how: Training | None = None) -> DataFra
     """One row per document: doc_id, held_out, lang_pred, score.
 
     score is the posterior of the predicted language. A text that is null or has no letters gets
-    "und" and 0, as does every text if no document is labelled. held_out is null for a null doc_id, of
-    which training may make use. Repeated rows get a row each. Extra columns are ignored. The model
+    "und" and 0, as does every text if no document is labelled. held_out is null for a null doc_id, which
+    is not learned from. Languages that tie go by name. Texts of any length count whole, one at a time
+    if they are large. An empty table gives no rows. Repeated rows get a row each. Extra columns are ignored. The model
     that is broadcast has the vocabulary's size times the number of languages.
     """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, path, how))
