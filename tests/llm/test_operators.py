@@ -254,6 +254,47 @@ def test_base_scores_and_gain_of_the_class_model(odd):
     assert sorted(round(r["base_score"], 8) for r in small) == sorted(round(r["base_score"], 8) for r in got)
 
 
+@pytest.mark.parametrize("how", [lmscore.Settings(), lmscore.Settings(head=20, symbols=6, pools=5, classes=4)])
+def test_class_scores_against_brute_force(odd, how):
+    """Given each word's class, the counts and the score of every text, word by word."""
+    texts = [["\n", *words(r[1]), "\n"] for r in rows()]
+    learned = [t for t, r in zip(texts, rows(), strict=True) if r[0] is not None and crc(r[0], 5) != 1]
+    train = odd.where("doc_id is not null").selectExpr("text", "doc_id", "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) as part").where("part <> 1").selectExpr("coalesce(text, '') as text")
+    model = lmscore.learn(train, lmscore.word_totals(train), how)
+    number = {w: k for k, w in enumerate(model.symbols.head.to_pylist())}
+    end = how.classes
+    pool = lambda w: int(model.of[model.symbols.of(pa.array([w]))[1][0]])
+    kind = lambda w: end if w == "\n" else int(model.of_head[number[w]]) if w in number else pool(w)
+    c = collections.Counter(w for t in learned for w in t[1:])
+    size, kinds = collections.Counter(), collections.Counter()
+    for w, n in c.items():
+        size[kind(w)] += n
+        kinds[kind(w)] += 1
+    steps = collections.Counter((kind(a), kind(b)) for t in learned for a, b in zip(t, t[1:]))
+    after = collections.Counter()
+    for (a, _), n in steps.items():
+        after[a] += n
+
+    def score(t):
+        out = 0.0
+        for a, b in zip(t, t[1:]):
+            alone = (size[kind(b)] + 0.5) / (sum(size.values()) + 0.5 * (how.classes + 1))
+            pair = steps[kind(a), kind(b)] / after[kind(a)] if after[kind(a)] else alone
+            out += math.log10(how.mixed * pair + (1 - how.mixed) * alone)
+            if b != "\n":
+                out += math.log10((c[b] + 0.5) / (size[kind(b)] + 0.5 * (kinds[kind(b)] + 1)))
+        return out
+
+    got = sorted(round(r["score"], 6) for r in frame(lmscore.lm_scores(odd, how)))
+    assert got == pytest.approx(sorted(round(score(t), 6) for t in texts), abs=2e-6)
+
+
+def test_a_word_joins_the_class_of_words_with_its_contexts():
+    table = np.array([[0.0, 40, 1], [40, 0, 1], [1, 1, 0]])
+    into, out = np.array([[6.0, 0, 0], [0, 6, 0]]), np.array([[6.0, 0, 0], [0, 6, 0]])
+    assert lmscore.best_class(into, out, table, np.array([0, 0])).tolist() == [1, 0]
+
+
 def test_exchange_separates_alternating_words():
     n = 9
     pairs = np.zeros((n, n), np.int64)

@@ -1,12 +1,14 @@
 """Language-model scores by a Brown class-based bigram model.
 
-Frequent words, and pools of the other words by their last two bytes, are the symbols that exchange
-clustering deals to classes so that the class bigrams keep the most mutual information. A token's
-probability is that of its class after the previous one, times that of the word within its class.
-
-Counts cover the whole corpus. A bounded head of words (which ones: from a sample) is counted in
-arrays and broadcast; every other word meets all its occurrences in one shuffle, which counts it and
-scores it at once, so no vocabulary is ever collected.
+The most frequent words of the whole corpus are its head. Exchange clustering deals the first of them,
+with pools of the other words by their last two bytes, to classes so that the class bigrams keep the
+most mutual information. Every other head word then gets the class that gains most, by the counts of
+the classes before and after it in the corpus. Only words outside the head keep their pool's class. A
+token's probability is that of its class after the previous one, times that of the word within its
+class.
+
+Counts cover the whole corpus. The head is counted in arrays and broadcast; other words are counted in a
+table that their occurrences are joined to, so no vocabulary is ever collected.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .text import Words, arrow_map, checkpointed, crc_mod, slices
@@ -27,12 +29,11 @@ from .text import Words, arrow_map, checkpointed, crc_mod, slices
 class Settings:
     """Bounds of what the driver holds and broadcasts, and of the model."""
 
-    head: int = 32_768  # words counted in arrays
-    symbols: int = 1024  # of these, words with a symbol of their own
+    head: int = 32_768  # words with a class by their own contexts
+    symbols: int = 1024  # of these, words that the exchange moves until nothing gains
     pools: int = 128
     classes: int = 48
-    sample_docs: int = 4000  # that choose the head
-    rounds: int = 4
+    rounds: int = 12
     mixed: float = 0.9  # share of the class bigram; the rest is the class unigram
 
 
@@ -81,35 +82,122 @@ def word_totals(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def corpus_counts(train: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Counts of head words, of symbol bigrams (from, to), of tokens by symbol outside the head, and texts."""
-    size = symbols.count
+def tail_pools(totals: DataFrame, symbols: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words outside the head, by symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, pairs, rest, texts = np.zeros(len(symbols.head), np.int64), np.zeros(size * size, np.int64), np.zeros(size, np.int64), 0
+        for batch in batches:
+            number, symbol = symbols.of(batch.column("word"))
+            tail = number < 0
+            tokens = np.bincount(symbol[tail], np.asarray(batch.column("n"))[tail], symbols.count).astype(np.int64)
+            words = np.bincount(symbol[tail], minlength=symbols.count)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(symbols.count)), pa.array(tokens), pa.array(words)], names=["symbol", "tokens", "words"])
+
+    found = arrow_map(totals, run, "symbol long, tokens long, words long").groupBy("symbol").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
+    out = np.zeros((2, symbols.count), np.int64)
+    for r in found.collect():  # a row for each symbol
+        out[:, r["symbol"]] = r["tokens"], r["words"]
+    return out[0], out[1]
+
+
+def bigrams(train: DataFrame, symbols: Symbols, of: np.ndarray | None, of_head: np.ndarray | None) -> np.ndarray:
+    """Counts of pairs (from, to) in the corpus: of symbols, or of classes if these are given for symbols and head words."""
+    size = symbols.count if of is None else int(of.max()) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(size * size, np.int64)
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), lower=True)
-                number, symbol = symbols.of(words.vocabulary)
-                each = np.bincount(words.codes, minlength=len(number))
-                heads += np.bincount(number[number >= 0], each[number >= 0], len(heads)).astype(np.int64)
-                rest += np.bincount(symbol[number < 0], each[number < 0], size).astype(np.int64)
-                line = with_ends(words, symbol[words.codes], symbols.end)
-                before = np.concatenate([[symbols.end], line[:-1]])
+                kind, end = _kinds(words, symbols, of, of_head)
+                line = with_ends(words, kind[words.codes], end)
+                before = np.concatenate([[end], line[:-1]])
                 pairs += np.bincount(before * size + line, minlength=size * size)
-                texts += part.num_rows
-        for kind, table in ((0, heads), (1, pairs), (2, rest), (3, np.array([texts]))):
-            full = np.flatnonzero(table)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), kind, np.int32)), pa.array(full), pa.array(table[full])], names=["kind", "key", "n"])
+        full = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(pairs[full])], names=["key", "n"])
+
+    table = arrow_map(train.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size, np.int64)
+    out[np.asarray(table.column("key"))] = np.asarray(table.column("n"))
+    return out.reshape(size, size)
+
+
+def _kinds(words: Words, symbols: Symbols, of: np.ndarray | None, of_head: np.ndarray | None) -> tuple[np.ndarray, int]:
+    """The symbol or class of each word of the vocabulary, and of the end."""
+    number, symbol = symbols.of(words.vocabulary)
+    if of is None:
+        return symbol, symbols.end
+    return (np.where(number >= 0, np.append(of_head, 0)[number], of[symbol]) if of_head is not None else of[symbol]), int(of[symbols.end])
+
 
-    table = arrow_map(train.select("text"), run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
-    kind, key, n = (np.asarray(table.column(c)).astype(np.int64) for c in ("kind", "key", "n"))
-    out = []
-    for k, length in enumerate((len(symbols.head), size * size, size, 1)):
-        full = np.zeros(length, np.int64)
-        full[key[kind == k]] = n[kind == k]
-        out.append(full)
-    return out[0], out[1].reshape(size, size), out[2], int(out[3][0])
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_class(into: np.ndarray, out: np.ndarray, table: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """The class that each word gains most in; into, out: its counts after and before each class; now: the class that has counted it so far.
+
+    The last class belongs to the end alone.
+    """
+    k, count = len(now), len(table)
+    rest = np.repeat(table[None].astype(float), k, axis=0)
+    at = np.arange(k)
+    rest[at, now] -= out
+    rest[at, :, now] -= into
+    np.maximum(rest, 0.0, out=rest)
+    left, right = rest.sum(axis=2), rest.sum(axis=1)
+    gain = (_f(rest + out[:, None, :]) - _f(rest)).sum(axis=2) + (_f(rest + into[:, :, None]) - _f(rest)).sum(axis=1)
+    gain -= _f(left + out.sum(axis=1, keepdims=True)) - _f(left) + _f(right + into.sum(axis=1, keepdims=True)) - _f(right)
+    gain[:, count - 1] = -np.inf
+    return np.where(gain.max(axis=1) > gain[at, now] + 1e-9, gain.argmax(axis=1), now)
+
+
+def head_classes(train: DataFrame, symbols: Symbols, of: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A class for each head word: the exchange's for those with symbols of their own, else the one that gains most.
+
+    Contexts are counted over the whole corpus and stay in the cluster; a row for each word comes back.
+    """
+    heads, own, count = len(symbols.head), symbols.own, len(table)
+    _, symbol = symbols.of(symbols.head) if heads else (None, np.empty(0, np.int64))
+    start = of[symbol]
+    if heads == own:
+        return start
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((heads - own) * 2 * count, np.int32)
+        for batch in batches:
+            for part in slices(batch):
+                words = Words(part.column("text"), lower=True)
+                number, kind = symbols.of(words.vocabulary)[0], _kinds(words, symbols, of, None)[0]
+                line = with_ends(words, kind[words.codes], np.int64(of[symbols.end]))
+                who = with_ends(words, number[words.codes], np.int64(-1))
+                at = np.flatnonzero(who >= own)
+                before = np.concatenate([[of[symbols.end]], line[:-1]])[at]
+                key = (who[at] - own) * 2 * count
+                for keys in (key + before, key + count + line[at + 1]):
+                    keys, n = np.unique(keys, return_counts=True)
+                    found[keys] += n.astype(np.int32)
+        full = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array((full // (2 * count)).astype(np.int32)), pa.array((full % (2 * count)).astype(np.int32)), pa.array(found[full].astype(np.int64))], names=["word", "key", "n"])
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                part = batch.slice(a, 128)
+                word = np.asarray(part.column("word"))
+                counts = np.zeros((len(word), 2 * count))
+                sizes = np.asarray(pc.list_value_length(part.column("seen")))
+                seen = part.column("seen").flatten()
+                counts[np.repeat(np.arange(len(word)), sizes), np.asarray(seen.field("key"))] = np.asarray(seen.field("n"))
+                best = best_class(counts[:, :count], counts[:, count:], table, start[own + word])
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best.astype(np.int32))], names=["word", "class"])
+
+    seen = arrow_map(train.select("text"), contexts, "word int, key int, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    seen = seen.groupBy("word").agg(F.collect_list(F.struct("key", "n")).alias("seen"))  # at most two counts a class
+    told = arrow_map(seen, assign, "word int, class int").toArrow()
+    out = start.copy()
+    out[own + np.asarray(told.column("word"))] = np.asarray(told.column("class"))
+    return out
 
 
 def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
@@ -125,9 +213,6 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     table = np.zeros((count, count))
     np.add.at(table, (of[:, None], of[None, :]), pairs)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(rounds):
         moved = 0
         for s in order:
@@ -143,10 +228,10 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
             table[:, a] -= into
             table[a, a] -= own
             left, right = table.sum(axis=1) + into, table.sum(axis=0) + out  # whichever class it joins
-            gain = (f(table + out[None, :]) - f(table)).sum(axis=1) + (f(table + into[:, None]) - f(table)).sum(axis=0)
+            gain = (_f(table + out[None, :]) - _f(table)).sum(axis=1) + (_f(table + into[:, None]) - _f(table)).sum(axis=0)
             own_cell = np.diag(table)
-            gain += f(own_cell + out + into + own) + f(own_cell) - f(own_cell + out) - f(own_cell + into)
-            gain -= f(left + out.sum() + own) - f(left) + f(right + into.sum() + own) - f(right)
+            gain += _f(own_cell + out + into + own) + _f(own_cell) - _f(own_cell + out) - _f(own_cell + into)
+            gain -= _f(left + out.sum() + own) - _f(left) + _f(right + into.sum() + own) - _f(right)
             gain[classes] = -np.inf
             b = int(gain.argmax())
             if gain[b] <= gain[a] + 1e-9:
@@ -162,31 +247,29 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
 
 
 def tail_rows(rows: DataFrame, symbols: Symbols) -> DataFrame:
-    """(row, tkey, train, word, pool, n) for every word outside the head of every text."""
+    """(row, tkey, word, n) for every word outside the head of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), lower=True)
-                number, symbol = symbols.of(words.vocabulary)
+                number, _ = symbols.of(words.vocabulary)
                 at = np.flatnonzero(number[words.codes] < 0)
                 key, n = np.unique(words.doc_of()[at] * max(1, len(number)) + words.codes[at], return_counts=True)
                 doc, code = key // max(1, len(number)), key % max(1, len(number))
                 take = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("row", "tkey", "train")), words.vocabulary.take(pa.array(code)), pa.array(symbol[code].astype(np.int32)), pa.array(n.astype(np.int32))], names=["row", "tkey", "train", "word", "pool", "n"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in ("row", "tkey")), words.vocabulary.take(pa.array(code)), pa.array(n.astype(np.int32))], names=["row", "tkey", "word", "n"])
+
+    return arrow_map(rows.select("row", "tkey", "text"), run, "row long, tkey long, word string, n int")
 
-    return arrow_map(rows.select("row", "tkey", "train", "text"), run, "row long, tkey long, train boolean, word string, pool int, n int")
 
+def tail_scores(rows: DataFrame, symbols: Symbols, totals: DataFrame) -> DataFrame:
+    """(row, tkey) with sums over its tail tokens: x of log10(count + 0.5), known and n.
 
-def tail_scores(rows: DataFrame, symbols: Symbols) -> DataFrame:
-    """Two kinds of rows: (pool, null) with the training vocabulary's size; (row, tkey) with sums over its tail tokens."""
-    word = Window.partitionBy("word")
-    counted = tail_rows(rows, symbols).withColumn("c", F.coalesce(F.sum(F.when(F.col("train"), F.col("n"))).over(word), F.lit(0)))
-    counted = counted.withColumn("first", F.row_number().over(word.orderBy("row", "tkey")) == 1)
-    of_text = F.struct(F.lit(False).alias("is_pool"), F.col("row").alias("a"), F.col("tkey").alias("b"), (F.col("n") * F.log10(F.col("c") + 0.5)).alias("x"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known"), F.col("n").cast("long").alias("n"))
-    of_pool = F.struct(F.lit(True).alias("is_pool"), F.col("pool").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0.0).alias("x"), F.lit(1).cast("long").alias("known"), F.lit(1).cast("long").alias("n"))
-    told = counted.select(F.explode(F.when(F.col("first") & (F.col("c") > 0), F.array(of_text, of_pool)).otherwise(F.array(of_text))).alias("t")).select("t.*")
-    return told.groupBy("is_pool", "a", "b").agg(F.sum("x").alias("x"), F.sum("known").alias("known"), F.sum("n").alias("n"))
+    Both sides of the join are dealt for it alone, so a word of very many texts can be split.
+    """
+    found = tail_rows(rows, symbols).join(totals.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return found.groupBy("row", "tkey").agg(F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("x"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -195,10 +278,38 @@ class Model:
     head_log: np.ndarray  # log10(count + 0.5) of head words
     head_known: np.ndarray
     of: np.ndarray  # class of each symbol
+    of_head: np.ndarray  # class of each head word
     step: np.ndarray  # log10 P(class | previous class)
     room: np.ndarray  # log10 of each class's denominator
     end_log: float
     end_known: int
+    tokens: int
+    base_room: float
+
+
+def learn(train: DataFrame, totals: DataFrame, how: Settings) -> Model:
+    """The model of some texts; totals: (word, n) of all their words."""
+    texts = train.count()
+    sums = totals.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).first()
+    tokens, vocabulary = (sums["n"] or 0) + texts, sums["words"] + (texts > 0)
+    head = totals.orderBy(F.desc("n"), "word").limit(how.head).collect()
+    heads = np.array([r["n"] for r in head], np.int64)
+    symbols = Symbols([r["word"] for r in head], how)
+    rest, distinct = tail_pools(totals, symbols)
+    of = exchange(bigrams(train, symbols, None, None), how.classes, how.rounds)
+    of_head = head_classes(train, symbols, of, bigrams(train, symbols, of, None))
+    # classes: tokens and distinct words of each, and steps between them
+    classes = how.classes + 1
+    steps = bigrams(train, symbols, of, of_head).astype(float)
+    size = np.bincount(of_head, heads, classes) + np.bincount(of, rest, classes)
+    kinds = np.bincount(of_head, minlength=classes) + np.bincount(of, distinct, classes)
+    room = np.log10(size + 0.5 * (kinds + 1))
+    size[how.classes] += texts
+    alone = (size + 0.5) / (size.sum() + 0.5 * classes)
+    after = steps.sum(axis=1, keepdims=True)
+    step = np.log10(np.where(after > 0, how.mixed * steps / np.maximum(after, 1), how.mixed * alone) + (1 - how.mixed) * alone)
+    room[how.classes] = 0.0  # the end is its class's only word
+    return Model(symbols, np.log10(heads + 0.5), np.ones(len(heads), np.int64), of, of_head, step, room, float(np.log10(texts + 0.5)), int(texts > 0), int(tokens), float(np.log10(tokens + 0.5 * (vocabulary + 1))))
 
 
 def _score_texts(rows: DataFrame, model) -> DataFrame:
@@ -210,13 +321,14 @@ def _score_texts(rows: DataFrame, model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 words = Words(part.column("text"), lower=True)
-                number, symbol = m.symbols.of(words.vocabulary)
+                number, _ = m.symbols.of(words.vocabulary)
                 head = number >= 0
                 log = np.where(head, np.append(m.head_log, 0.0)[number], 0.0)[words.codes]
                 known = np.where(head, np.append(m.head_known, 0)[number], 0)[words.codes]
                 doc, n = words.doc_of(), part.num_rows
-                line = m.of[with_ends(words, symbol[words.codes], m.symbols.end)]
-                before = np.concatenate([[m.of[m.symbols.end]], line[:-1]])
+                kind, end = _kinds(words, m.symbols, m.of, m.of_head)
+                line = with_ends(words, kind[words.codes], end)
+                before = np.concatenate([[end], line[:-1]])
                 size = words.counts + 1
                 owner = np.repeat(np.arange(n), size)
                 sums = [np.bincount(owner, x, n) for x in (m.step[before, line], m.room[line])]
@@ -234,49 +346,25 @@ def lm_scores(docs: DataFrame, how: Settings | None = None) -> DataFrame:
 
     Both scores are log10 probabilities of the whole text and its end. A null text is empty: one token,
     its end. A null doc_id has a null held_out, is scored, and is not learned from. Repeated rows get a
-    row each. With nothing to learn from, every token is unknown. Extra columns are ignored.
+    row each. Words that tie in count are ordered by themselves. With nothing to learn from, every token is
+    unknown. Texts of any length count whole, one at a time if they are large. An empty table gives no
+    rows. Extra columns are ignored.
     """
     how = how or Settings()
     part = crc_mod("doc_id", 5)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (part == 1).alias("held_out"), F.coalesce(part != 1, F.lit(False)).alias("train"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("row"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))
     train = rows.where("train")
-    share = min(1.0, how.sample_docs / max(1, train.count()))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(13), "doc_id"), 11) / F.lit(float(1 << 53))
-    head = [r["word"] for r in word_totals(train.where(draw < share)).orderBy(F.desc("n"), "word").limit(how.head).collect()]
-    symbols = Symbols(head, how)
-    heads, pairs, rest, texts = corpus_counts(train, symbols)
-    of = exchange(pairs, how.classes, how.rounds)
-    tail = checkpointed(tail_scores(rows, symbols))
-    distinct = np.zeros(symbols.count, np.int64)
-    for r in tail.where("is_pool").collect():  # a row for each pool
-        distinct[r["a"]] = r["n"]
-    vocabulary = int(distinct.sum() + (heads > 0).sum() + (texts > 0))
-    tokens = int(heads.sum() + rest.sum() + texts)
-    # classes: tokens and distinct words of each, and steps between them
-    classes = how.classes + 1
-    _, symbol_of_head = symbols.of(symbols.head) if head else (None, np.empty(0, np.int64))
-    of_head = of[symbol_of_head]
-    size = np.bincount(of_head, heads, classes) + np.bincount(of, rest, classes)
-    kinds = np.bincount(of_head, heads > 0, classes) + np.bincount(of, distinct, classes)
-    room = np.log10(size + 0.5 * (kinds + 1))
-    size[how.classes] += texts
-    steps = np.zeros((classes, classes))
-    np.add.at(steps, (of[:, None], of[None, :]), pairs)
-    alone = (size + 0.5) / (size.sum() + 0.5 * classes)
-    after = steps.sum(axis=1, keepdims=True)
-    step = np.log10(np.where(after > 0, how.mixed * steps / np.maximum(after, 1), how.mixed * alone) + (1 - how.mixed) * alone)
-    room[how.classes] = 0.0  # the end is its class's only word
-    model = docs.sparkSession.sparkContext.broadcast(Model(symbols, np.log10(heads + 0.5), (heads > 0).astype(np.int64), of, step, room, float(np.log10(texts + 0.5)), int(texts > 0)))
-    mine = _score_texts(rows, model)
-    told = tail.where(~F.col("is_pool")).select(F.col("a").alias("row"), F.col("b").alias("tkey"), "x", "known", "n")
-    joined = mine.join(told, ["row", "tkey"], "left")
+    totals = checkpointed(word_totals(train))
+    found = learn(train, totals, how)
+    model = docs.sparkSession.sparkContext.broadcast(found)
+    tail = tail_scores(rows, found.symbols, totals)
+    joined = _score_texts(rows, model).join(tail, ["row", "tkey"], "left")
     # repeated rows have all put their tail tokens into one sum
     tail_log = F.coalesce(F.col("x") * F.col("n_tail") / F.col("n"), F.lit(0.0))
     tail_known = F.coalesce((F.col("known") * F.col("n_tail") / F.col("n")).cast("long"), F.lit(0))
     words_log = F.col("head_log") + tail_log
-    base_room = float(np.log10(tokens + 0.5 * (vocabulary + 1)))
     return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("head_known") + tail_known).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (words_log + F.lit(model.value.end_log) - F.col("n_tokens") * F.lit(base_room)).alias("base_score"), (words_log + F.col("step") - F.col("room")).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("head_known") + tail_known).cast("long").alias("n_known"), F.lit(found.tokens).cast("long").alias("train_tokens"),
+        (words_log + F.lit(found.end_log) - F.col("n_tokens") * F.lit(found.base_room)).alias("base_score"), (words_log + F.col("step") - F.col("room")).alias("score"),
     )
