@@ -287,12 +287,23 @@ class Model:
     base_room: float
 
 
+def _least_count(totals: DataFrame, most: int) -> int:
+    """The smallest count that at most ``most`` words exceed: a row for each distinct count comes to the driver."""
+    words, least = 0, 0
+    for r in sorted(totals.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["n"]):
+        words += r["words"]
+        if words > most:
+            least = r["n"]
+            break
+    return least
+
+
 def learn(train: DataFrame, totals: DataFrame, how: Settings) -> Model:
     """The model of some texts; totals: (word, n) of all their words."""
     texts = train.count()
     sums = totals.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).first()
     tokens, vocabulary = (sums["n"] or 0) + texts, sums["words"] + (texts > 0)
-    head = totals.orderBy(F.desc("n"), "word").limit(how.head).collect()
+    head = sorted(totals.where(F.col("n") > _least_count(totals, how.head)).collect(), key=lambda r: (-r["n"], r["word"]))
     heads = np.array([r["n"] for r in head], np.int64)
     symbols = Symbols([r["word"] for r in head], how)
     rest, distinct = tail_pools(totals, symbols)
@@ -346,7 +357,7 @@ def lm_scores(docs: DataFrame, how: Settings | None = None) -> DataFrame:
 
     Both scores are log10 probabilities of the whole text and its end. A null text is empty: one token,
     its end. A null doc_id has a null held_out, is scored, and is not learned from. Repeated rows get a
-    row each. Words that tie in count are ordered by themselves. With nothing to learn from, every token is
+    row each. Words that tie in count with the first one beyond the head are not of the head. With nothing to learn from, every token is
     unknown. Texts of any length count whole, one at a time if they are large. An empty table gives no
     rows. Extra columns are ignored.
     """

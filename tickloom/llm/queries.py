@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exactdup, langid, license, lmscore, mixing, neardup, packing, search, substring, tokencount
 from .text import documents
@@ -33,7 +34,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return search.search(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), search.Settings(query_terms=None, least_docs=1))
+    found = search.search(docs, docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,4 +57,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_dedup, op2_language_id, op3_lm_scores, op4_license_scan, op5_mixing, op6_topk_search, op7_substring_dedup, op8_exact_dedup, op9_packing, op10_token_counts)
 }
-SQL: dict[str, str] = {"op1_near_dedup": neardup.SQL, "op7_substring_dedup": substring.SQL, "op8_exact_dedup": exactdup.SQL}
+SQL: dict[str, str] = {"op1_near_dedup": neardup.SQL, "op6_topk_search": search.SQL, "op7_substring_dedup": substring.SQL, "op8_exact_dedup": exactdup.SQL}

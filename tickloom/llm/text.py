@@ -7,7 +7,6 @@ batch size and however long a single text is.
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -73,9 +72,9 @@ class Words:
         return hash_words(self.vocabulary)[self.codes]
 
 
-def hash_words(vocabulary: pa.Array) -> np.ndarray:
+def hash_words(vocabulary: pa.Array, seed: int = 0) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in vocabulary.cast(pa.binary()).to_pylist()), np.uint64, len(vocabulary))
+    return np.fromiter((digest(w, seed) for w in vocabulary.cast(pa.binary()).to_pylist()), np.uint64, len(vocabulary))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -124,12 +123,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle and checkpoint files of tables that nothing refers to any more, as between rounds of a loop."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: Bits of the filter in ``only_likely``: 16 MB, whatever the number of keys.
 FILTER_BITS = 1 << 27
 
