@@ -419,7 +419,7 @@ def test_blocks_below_the_threshold_are_not_scored():
     kind = np.arange(n) % 2
     parts = [(np.arange(n), np.full(n, 10), np.repeat(np.arange(n), 10), np.concatenate([k * 30 + np.sort(r.choice(30, 10, replace=False)) for k in kind]), np.ones(10 * n, np.int64))]
     how = search.Settings(block=20, frequent=terms, k=3)
-    shard = search.Shard(parts, terms, 10.0, how)
+    shard = search.Shard(parts, np.ones(terms), 10.0, how)
     queries = search.Queries(np.array([7]), np.array([0, 10]), np.arange(30, 40, dtype=np.int32), np.arange(terms), np.ones(terms))
     scored = []
 
@@ -429,8 +429,9 @@ def test_blocks_below_the_threshold_are_not_scored():
             return np.asarray(super().__getitem__(at))
 
     shard.dense = shard.dense.view(Dense)
-    best = search.Best(1, 3)
-    shard.ask(queries, best, how)
+    best = search.Best(queries, how)
+    shard.ask(best, how)
+    best.settle()
     assert 0 < len(scored) <= 15 and (best.docs[0] % 2 == 1).all()
 
 

@@ -67,14 +67,50 @@ class Words:
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
+    def distinct(self, counted: bool = False) -> tuple[np.ndarray, ...]:
+        """(text, code) of the distinct words of each text, in order; counted: and how often each occurs."""
+        n, texts = max(1, len(self.vocabulary)), len(self.offsets) - 1
+        kind = np.uint32 if n * texts < 1 << 32 else np.int64  # half as wide is twice as fast to sort
+        key = self.doc_of().astype(kind) * kind(n) + self.codes.astype(kind)
+        key.sort()
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(fresh)
+        doc, code = np.divmod(key[first], kind(n))
+        out = doc.astype(np.int64), code.astype(np.int64)
+        return (*out, np.diff(np.append(first, len(key)))) if counted else out
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash for each word, equal wherever the word is."""
         return hash_words(self.vocabulary)[self.codes]
 
 
-def hash_words(vocabulary: pa.Array, seed: int = 0) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w, seed) for w in vocabulary.cast(pa.binary()).to_pylist()), np.uint64, len(vocabulary))
+def hash_words(vocabulary: pa.Array) -> np.ndarray:
+    digests = b"".join(map(xxhash.xxh3_64_digest, vocabulary.cast(pa.binary()).to_pylist()))
+    return np.frombuffer(digests, ">u8").astype(np.uint64)
+
+
+def hash_pairs(vocabulary: pa.Array, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, as signed integers: words of up to 16 bytes as two numbers, others by xxhash."""
+    words = vocabulary.cast(pa.binary())
+    if not len(words):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4)
+    begin, size = ends[:-1], np.diff(ends)
+    data = np.concatenate([np.frombuffer(words.buffers()[2], np.uint8)[: ends[-1]], np.zeros(16, np.uint8)])
+    some = np.lib.stride_tricks.sliding_window_view(data, 16)[begin].view(np.uint64)  # 16 bytes from each word's first on
+    one, two = some[:, 0], some[:, 1]
+    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+    one = np.where(size < 8, one & ~(full << (np.minimum(size, 7) * 8).astype(np.uint64)), one)
+    two = np.where(size < 16, two & ~(full << (np.clip(size - 8, 0, 7) * 8).astype(np.uint64)), two)
+    out = []
+    for salt in (1, 2):
+        start = mix(np.array([seed * 2 + salt], np.uint64))
+        out.append(mix(mix(mix(one ^ start) * np.uint64(0xD6E8FEB86659FD93) + two) * MIX + size.astype(np.uint64)))
+    for w in np.flatnonzero(size > 16).tolist():
+        digest = xxhash.xxh3_128_intdigest(words[w].as_py(), seed)
+        out[0][w], out[1][w] = digest & int(full), digest >> 64
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
