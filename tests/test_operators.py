@@ -97,7 +97,7 @@ def test_generated_flows_are_legal_and_books_agree(spark, model):
     m = flow(spark, model=model)
     swept = kernels.sweep(m)
     assert swept.where("not ok").count() == 0
-    lives = book.order_lives(m, depth=None)
+    lives = book.order_lives(m)
     # orders that executions or cancels used up end without a delete; the relational book keeps them at zero
     deltas = book.level_deltas(m, lives)
     depth = {(r["symbol"], r["side"], r["price"]): r["qty"] for r in book.full_depth(deltas).collect()}
@@ -134,7 +134,7 @@ def test_replace_chains_of_any_length(spark):
     rows = [(1, 0, 0, "A", 1, None, "S", 100, 10)] + [(1, k, k, "U", k, k + 1, None, 100, 10 + k) for k in range(1, 20)]
     m = spark.createDataFrame(rows, MESSAGE)
     assert set(col(book.roots(m), "root")) == {1}
-    assert set(col(book.order_lives(m, depth=None), "side")) == {"S"}
+    assert set(col(book.order_lives(m), "side")) == {"S"}
 
 
 def test_frames_round_trip(spark, tmp_path):
@@ -423,7 +423,7 @@ def test_recordings(spark, tmp_path):
 
 def test_lobster_files(spark, tmp_path):
     m = flow(spark, 60)
-    rows = book.lobster(m, book.order_lives(m, depth=None))
+    rows = book.lobster(m, book.order_lives(m))
     depth = kernels.depth_sweep(m, 2).select("symbol", "seq", "bids", "asks")
     recordings.write_lobster(rows, depth, str(tmp_path), 2)
     a, b = (sorted(r["value"] for r in spark.read.text(str(tmp_path / n)).collect()) for n in ("message", "book"))
@@ -442,8 +442,30 @@ def test_upper_median_and_bootstrap(spark):
 
 
 def test_frontier_prefers_the_better_run():
-    got = stats.frontier([1.0, 0.1], [[1.0, 0.0], [0.0, 1.0]], 500)
-    assert got["best_ratio"][0] > 0.8 and abs(got["least_risk"][0] - 0.5) < 0.05
+    got = stats.frontier([1.0, 0.1], [[1.0, 0.0], [0.0, 1.0]])
+    assert got["best_ratio"] == pytest.approx([1 / 1.1, 0.1 / 1.1]) and got["least_risk"] == pytest.approx([0.5, 0.5])
+
+
+def test_frontier_leaves_out_what_does_not_pay():
+    cov = [[1.0, 0.9, 0.0], [0.9, 1.0, 0.0], [0.0, 0.0, 4.0]]
+    got = stats.frontier([1.0, 0.5, -1.0], cov)
+    assert got["best_ratio"] == pytest.approx([1.0, 0.0, 0.0])
+    grid = [(a / 50, b / 50, 1 - a / 50 - b / 50) for a in range(51) for b in range(51 - a)]
+    risk = lambda w: sum(w[i] * w[j] * cov[i][j] for i in range(3) for j in range(3))
+    assert risk(got["least_risk"]) <= min(map(risk, grid)) + 1e-9 and sum(got["least_risk"]) == pytest.approx(1.0)
+    assert stats.frontier([-1.0, -2.0], [[1.0, 0.0], [0.0, 1.0]])["best_ratio"] == [1.0, 0.0]
+
+
+def test_orders_end_when_their_shares_run_out(spark):
+    """A chain of three references; the last one is executed in full, another order is cancelled in full."""
+    m = spark.createDataFrame(
+        [(1, 1, "A", 10, None, "S", 100, 500), (1, 2, "U", 10, 11, None, 80, 510), (1, 3, "U", 11, 12, None, 60, 520), (1, 4, "E", 12, None, None, 20, None), (1, 5, "E", 12, None, None, 40, None), (1, 6, "A", 13, None, "B", 5, 490), (1, 7, "X", 13, None, None, 5, None)],
+        "symbol long, seq long, msg_type string, ref long, new_ref long, side string, shares long, price long",
+    ).selectExpr("*", "seq * 10 as ts_us")
+    got = {r["ref"]: (r["side"], r["end_seq"], r["end_kind"]) for r in book.order_lives(m).collect()}
+    assert got == {10: ("S", 2, "U"), 11: ("S", 3, "U"), 12: ("S", 5, "E"), 13: ("B", 7, "X")}
+    assert book.full_depth(book.level_deltas(m, book.order_lives(m))).count() == 0
+    assert {r["rule"]: r["broken"] for r in book.invariants(book.level_deltas(m, book.order_lives(m)), book.order_lives(m)).collect()} == {"negative_level": 0, "level_sum": 0}
 
 
 def test_realism_measures(spark):

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.session import checkpointed
+
 
 def message_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("msg_type").agg(F.count(F.lit(1)).alias("n"))
@@ -22,36 +24,44 @@ def dump(messages: DataFrame, skip: int, count: int) -> DataFrame:
 
 
 def roots(messages: DataFrame) -> DataFrame:
-    """(symbol, ref, root): the add at the start of each reference's chain of replaces, by pointer jumping."""
-    links = messages.where("msg_type in ('A', 'F', 'U')").select("symbol", F.coalesce("new_ref", "ref").alias("ref"), F.col("ref").alias("root"))
+    """(symbol, ref, root): the add at the start of each reference's chain of replaces."""
+    adds = messages.where("msg_type in ('A', 'F')").select("symbol", "ref", F.col("ref").alias("root"))
+    return adds.unionByName(_replace_roots(messages))
+
+
+def _replace_roots(messages: DataFrame) -> DataFrame:
+    """``roots`` of the references that a replace begins, by pointer jumping: a chain of n takes about log n rounds."""
+    links = messages.where("msg_type = 'U'").select("symbol", F.col("new_ref").alias("ref"), F.col("ref").alias("root"))
     while True:
         up = links.select(F.col("symbol").alias("s"), F.col("ref").alias("r"), F.col("root").alias("further"))
-        step = links.join(up, (F.col("symbol") == F.col("s")) & (F.col("root") == F.col("r")), "left")
-        step = step.select("symbol", "ref", F.coalesce("further", "root").alias("next"), "root")
-        if step.where("next <> root").isEmpty():
+        step = checkpointed(links.join(up, (F.col("symbol") == F.col("s")) & (F.col("root") == F.col("r")), "left").select("symbol", "ref", "root", "further"))
+        links = step.select("symbol", "ref", F.coalesce("further", "root").alias("root"))
+        if step.where("further is not null").isEmpty():
             return links
-        links = step.select("symbol", "ref", F.col("next").alias("root"))
 
 
-def order_lives(messages: DataFrame, depth: int | None = 1) -> DataFrame:
+def order_lives(messages: DataFrame) -> DataFrame:
     """One row per reference: how it began and ended, what was executed and cancelled.
 
-    A replace ends one reference and begins another with the side of the chain's first add. ``depth`` 1
-    reads the side off the replaced add itself; None follows chains of any length.
+    A replace ends one reference and begins another with the side of its chain's first add. An order also
+    ends with the message that takes the last of its shares.
     """
     begun = messages.where("msg_type in ('A', 'F', 'U')").select(
-        "symbol", F.coalesce("new_ref", "ref").alias("ref"), "side", "price", "shares", F.col("seq").alias("add_seq"), F.col("ts_us").alias("add_ts"), F.when(F.col("msg_type") == "U", F.col("ref")).alias("parent_ref")
+        "symbol", F.coalesce("new_ref", "ref").alias("ref"), F.col("side").alias("own_side"), "price", "shares", F.col("seq").alias("add_seq"), F.col("ts_us").alias("add_ts"), F.when(F.col("msg_type") == "U", F.col("ref")).alias("parent_ref")
     )
     sides = messages.where("msg_type in ('A', 'F')").select("symbol", F.col("ref").alias("root"), F.col("side").alias("root_side"))
-    chain = begun.withColumn("root", F.coalesce("parent_ref", "ref")) if depth == 1 else begun.join(roots(messages), ["symbol", "ref"])
-    begun = chain.join(sides, ["symbol", "root"], "left").withColumn("side", F.coalesce("side", "root_side")).drop("root", "root_side")
-    gone = F.col("msg_type").isin("D", "U")
+    chained = _replace_roots(messages).join(sides, ["symbol", "root"]).select("symbol", "ref", "root_side")
+    cut, gone = F.col("msg_type").isin("E", "C", "X"), F.col("msg_type").isin("D", "U")
+    last = lambda which: F.max(F.when(which, F.struct("seq", "ts_us", "msg_type")))
     ended = messages.where("msg_type in ('E', 'C', 'X', 'D', 'U')").groupBy("symbol", "ref").agg(
-        F.max(F.when(gone, F.col("seq"))).alias("end_seq"), F.max(F.when(gone, F.col("ts_us"))).alias("end_ts"), F.max(F.when(gone, F.col("msg_type"))).alias("end_kind"),
+        last(gone).alias("gone"), last(cut).alias("cut"),
         F.sum(F.when(F.col("msg_type").isin("E", "C"), F.col("shares"))).alias("executed"), F.sum(F.when(F.col("msg_type") == "X", F.col("shares"))).alias("cancelled"),
     )
-    out = begun.join(ended, ["symbol", "ref"], "left")
-    return out.withColumn("executed", F.coalesce("executed", F.lit(0))).withColumn("cancelled", F.coalesce("cancelled", F.lit(0))).select("symbol", "ref", "side", "price", "shares", "add_seq", "add_ts", "parent_ref", "end_seq", "end_ts", "end_kind", "executed", "cancelled")
+    out = begun.join(chained, ["symbol", "ref"], "left").join(ended, ["symbol", "ref"], "left")
+    out = out.withColumn("side", F.coalesce("own_side", "root_side")).withColumn("executed", F.coalesce("executed", F.lit(0))).withColumn("cancelled", F.coalesce("cancelled", F.lit(0)))
+    end = F.coalesce("gone", F.when(F.col("executed") + F.col("cancelled") >= F.col("shares"), F.col("cut")))
+    out = out.withColumn("end", end)
+    return out.select("symbol", "ref", "side", "price", "shares", "add_seq", "add_ts", "parent_ref", F.col("end.seq").alias("end_seq"), F.col("end.ts_us").alias("end_ts"), F.col("end.msg_type").alias("end_kind"), "executed", "cancelled")
 
 
 def level_deltas(messages: DataFrame, lives: DataFrame) -> DataFrame:
@@ -59,7 +69,7 @@ def level_deltas(messages: DataFrame, lives: DataFrame) -> DataFrame:
     added = lives.select("symbol", F.col("add_seq").alias("seq"), F.col("add_ts").alias("ts_us"), "side", "price", F.col("shares").alias("dqty"))
     reduced = messages.where("msg_type in ('E', 'C', 'X')").select("symbol", "seq", "ts_us", "ref", F.col("shares").alias("less"))
     reduced = reduced.join(lives.select("symbol", "ref", "side", "price"), ["symbol", "ref"]).select("symbol", "seq", "ts_us", "side", "price", (-F.col("less")).alias("dqty"))
-    gone = lives.where("end_seq is not null").select("symbol", F.col("end_seq").alias("seq"), F.col("end_ts").alias("ts_us"), "side", "price", (-(F.col("shares") - F.col("executed") - F.col("cancelled"))).alias("dqty"))
+    gone = lives.where("end_kind in ('D', 'U')").select("symbol", F.col("end_seq").alias("seq"), F.col("end_ts").alias("ts_us"), "side", "price", (-(F.col("shares") - F.col("executed") - F.col("cancelled"))).alias("dqty"))
     return added.unionByName(reduced).unionByName(gone)
 
 

@@ -39,7 +39,7 @@ def j1_order_lives(spark, sf_dir):
     return book.order_lives(_messages(spark, sf_dir))
 
 
-@R.add(ad.sql("select symbol, case msg_type when 'U' then new_ref else ref end as ref, ref as root from messages where msg_type in ('A', 'U')", "messages"))
+@R.add(ad.sql("select symbol, ref, root from chain", "chain"))
 def j2_replace_chains(spark, sf_dir):
     return book.roots(_messages(spark, sf_dir))
 

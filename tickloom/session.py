@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -18,6 +19,14 @@ def ensure_importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage into the folder that the cluster names; only a session that names none, as in tests, gets a local one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tickloom-checkpoints"))
+    return df.checkpoint()
+
+
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     spark = (
