@@ -54,8 +54,8 @@ def e19_cross_asset_momentum(spark, sf_dir):
     q = ad.bbo(ad.events(spark, sf_dir))
     rows = q.withColumn("kind", F.lit("add")).withColumn("dir", F.lit(0)).withColumn("shares", F.lit(0).cast("long"))
     m = kernels.features(rows, fast_us=6 * 3.6e9, slow_us=2 * 8.64e10).select("symbol", "seq", "ts_us", "momentum_fast")
-    lead = m.where("symbol <= 3").select((F.col("symbol") + 10).alias("symbol"), "seq", "ts_us", "momentum_fast")
-    follow = m.where("symbol between 11 and 13").select("symbol", "seq", "ts_us")
+    lead = m.select((F.col("symbol") + 10).alias("symbol"), "seq", "ts_us", "momentum_fast")
+    follow = m.select("symbol", "seq", "ts_us")  # each symbol follows the one ten before it
     near = asof(follow, lead, on=["symbol"], left_time=F.col("ts_us"), right_time=F.col("ts_us"), values=["momentum_fast"], prefix="lead_", keep_time="lead_us")
     return near.select("symbol", "seq", F.round(F.col("lead_momentum_fast") * F.exp(-(F.col("ts_us") - F.col("lead_us")) / F.lit(6 * 3.6e9)) * 1e4, 6).alias("lead_bp"))
 
@@ -91,7 +91,7 @@ def b1_matching(spark, sf_dir):
 @R.add()
 def b8_sweep(spark, sf_dir):
     runs = [("naive", {"max_position": m}) for m in (100, 300)] + [("imbalance", {"edge": 0.2}), ("microprice", {}), ("avellaneda_stoikov", {}), ("zero", {})]
-    return sim.sweep(flows.generate(spark, "queue_reactive", 7, 4, 3000), runs).drop("minutes")
+    return sim.sweep(_messages(spark, sf_dir), runs).drop("minutes")
 
 
 @R.add()

@@ -200,11 +200,11 @@ def a26_fill_metrics(spark, sf_dir):
     return stats.fill_metrics(_fills(spark, sf_dir))
 
 
-@R.add(ad.sql(f"with {FILLS}, d as (select run, row_number() over (partition by run order by seq) as step, signed as x from fills where run <= 12) select a.run, b.run as other, count(*) as n, round(covar_samp(a.x, b.x), 4) as cov from d a join d b on a.step = b.step and a.run <= b.run group by 1, 2", "trades"))
+@R.add(ad.sql(f"with {FILLS}, d as (select run, row_number() over (partition by run order by seq) as step, signed as x from (select run % 12 as run, seq, signed from fills)) select a.run, b.run as other, count(*) as n, round(covar_samp(a.x, b.x), 4) as cov from d a join d b on a.step = b.step and a.run <= b.run group by 1, 2", "trades"))
 def a27_covariances(spark, sf_dir):
     from pyspark.sql import Window
 
-    f = _fills(spark, sf_dir).where("run <= 12")
+    f = _fills(spark, sf_dir).withColumn("run", F.col("run") % 12)  # pools of runs
     steps = f.select("run", F.row_number().over(Window.partitionBy("run").orderBy("seq")).alias("step"), F.col("signed").alias("x"))
     return stats.covariances(steps)
 

@@ -181,17 +181,18 @@ def e7_vpin(spark, sf_dir):
     return micro.vpin(micro.volume_buckets(trades(spark, sf_dir)[0], VOLUME), VOLUME, 5)
 
 
-PAIRS = [(1, 2), (2, 1), (3, 7), (10, 4)]
 MOVES = "moves as (select symbol, seq, ts_us, sign(d)::bigint as up from (select symbol, seq, ts_us, bid_px + ask_px - lag(bid_px + ask_px) over (partition by symbol order by seq) as d from bbo) where d <> 0)"
 
 
 def _lead_sql(shift: int) -> str:
-    pairs = ", ".join(f"({a}, {b})" for a, b in PAIRS)
-    return ad.sql(f"with {MOVES}, near as (select p.leader, p.follower, a.up, a.ts_us + {shift} as t0, b.ts_us as t, b.up as answer from (values {pairs}) p(leader, follower) join moves a on a.symbol = p.leader asof join moves b on b.symbol = p.follower and a.ts_us + {shift} < b.ts_us) select leader::bigint as leader, follower::bigint as follower, count(*) as leads, count(*) filter (t - t0 <= {12 * HOUR_US}) as answered, count(*) filter (t - t0 <= {12 * HOUR_US} and answer = up) as same from near group by 1, 2", "bbo")
+    return ad.sql(f"with {MOVES}, near as (select p.leader, p.follower, a.up, a.ts_us + {shift} as t0, b.ts_us as t, b.up as answer from (select distinct symbol as leader, symbol + 1 as follower from bbo) p join moves a on a.symbol = p.leader asof join moves b on b.symbol = p.follower and a.ts_us + {shift} < b.ts_us) select leader::bigint as leader, follower::bigint as follower, count(*) as leads, count(*) filter (t - t0 <= {12 * HOUR_US}) as answered, count(*) filter (t - t0 <= {12 * HOUR_US} and answer = up) as same from near group by 1, 2", "bbo")
 
 
 def _lead(spark, sf_dir, shift):
-    return micro.lead_lag(micro.mid_moves(quotes(spark, sf_dir)), spark.createDataFrame(PAIRS, "leader long, follower long"), 12 * HOUR_US, shift)
+    """Each symbol as the leader of the next one."""
+    q = quotes(spark, sf_dir)
+    pairs = q.select(F.col("symbol").alias("leader"), (F.col("symbol") + 1).alias("follower")).distinct()
+    return micro.lead_lag(micro.mid_moves(q), pairs, 12 * HOUR_US, shift)
 
 
 @R.add(_lead_sql(0))

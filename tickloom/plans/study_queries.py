@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators import book, micro, studies
@@ -36,14 +37,20 @@ def a15_prediction_errors(spark, sf_dir):
     return studies.prediction_errors(q, micro.micro_price(micro.transitions(q, ad.TICK)), ad.TICK)
 
 
-@R.add(ad.sql(f"with {INTERVALS}, w as (select k, coalesce(max(case when symbol = 1 then ofi end), 0) as x1, coalesce(max(case when symbol = 2 then ofi end), 0) as x2, coalesce(max(case when symbol = 3 then ofi end), 0) as x3 from iv group by k), t as (select symbol, k, lead(dmid2) over (partition by symbol order by k) as next from iv where symbol in (1, 2, 3)) select t.symbol, t.k, t.next, x1, x2, x3 from t join w on t.k = w.k where t.next is not null", "bbo"))
+def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of three pools that all symbols are dealt to."""
+    iv = micro.ofi_intervals(quotes(spark, sf_dir), DAY_US)
+    return iv.groupBy((F.col("symbol") % 3 + 1).alias("symbol"), "k").agg(F.sum("ofi").alias("ofi"), F.sum("dmid2").alias("dmid2"))
+
+
+@R.add(ad.sql(f"with {INTERVALS}, pv as (select symbol % 3 + 1 as symbol, k, cast(sum(ofi) as bigint) as ofi, cast(sum(dmid2) as bigint) as dmid2 from iv group by 1, 2), w as (select k, coalesce(max(case when symbol = 1 then ofi end), 0) as x1, coalesce(max(case when symbol = 2 then ofi end), 0) as x2, coalesce(max(case when symbol = 3 then ofi end), 0) as x3 from pv group by k), t as (select symbol, k, lead(dmid2) over (partition by symbol order by k) as next from pv) select t.symbol, t.k, t.next, x1, x2, x3 from t join w on t.k = w.k where t.next is not null", "bbo"))
 def j11_cross_impact(spark, sf_dir):
-    return studies.cross_impact(micro.ofi_intervals(quotes(spark, sf_dir), DAY_US), [1, 2, 3])
+    return studies.cross_impact(_pools(spark, sf_dir), [1, 2, 3])
 
 
 @R.add()
 def e15_cross_impact_fit(spark, sf_dir):
-    x = studies.cross_impact(micro.ofi_intervals(quotes(spark, sf_dir), DAY_US), [1, 2, 3])
+    x = studies.cross_impact(_pools(spark, sf_dir), [1, 2, 3])
     rows = [(s, i, round(b, 9)) for s in (1, 2, 3) for i, b in enumerate(micro.ridge(x.where(F.col("symbol") == s), ["x1", "x2", "x3"], "next"))]
     return spark.createDataFrame(rows, "symbol long, term long, coefficient double")
 
