@@ -392,7 +392,7 @@ def test_a_tiny_source_does_not_shrink_the_others(spark):
 @pytest.mark.parametrize("how", [
     search.Settings(tasks=3, shard_docs=8, block=2, k=3, frequent=30, batch=5),
     search.Settings(tasks=1, shard_docs=1000, block=4, k=5, frequent=4, broadcast_pairs=300),
-    search.Settings(tasks=2, shard_postings=50, block=3, k=1, frequent=10_000),
+    search.Settings(tasks=2, shard_postings=50, held_postings=120, block=3, k=1, frequent=10_000),
     search.Settings(),
 ])
 def test_search_against_brute_force(odd, how):
