@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tickloom.operators import book
 from tickloom.plans import adapters as ad
@@ -65,7 +66,8 @@ BOOK_AT = f"select symbol, side, price, qty, level from (select *, row_number()
 
 @R.add(ad.sql(BOOK_AT, "deltas"))
 def l5_book_at(spark, sf_dir):
-    return book.book_at(_book(spark, sf_dir)[2], NOON_US, 5)
+    m = _messages(spark, sf_dir).where(F.col("ts_us") <= NOON_US)  # later messages change nothing of that book
+    return book.book_at(book.level_deltas(m, book.order_lives(m)), NOON_US, 5)
 
 
 @R.add(ad.sql("select s.snapshot, d.symbol, d.side, d.price, cast(sum(d.dqty) as bigint) as qty from deltas d join (select distinct symbol, side, price, (seq // 500 + 1) * 500 - 1 as snapshot from deltas) s on s.symbol = d.symbol and s.side = d.side and s.price = d.price and d.seq <= s.snapshot group by all", "deltas"))
