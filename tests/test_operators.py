@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import market as fm
 from tickloom.functions import models
-from tickloom.operators import book, kernels, micro, pm, pm_exec, sim, stats, surveil
+from tickloom.operators import book, kernels, micro, pm, pm_exec, sim, stats, studies, surveil
 from tickloom.operators.asof import asof
 from tickloom.sources import flows, itch, recordings
 
@@ -210,6 +210,26 @@ def test_hawkes_recovers_its_branching():
     assert abs(al / be - branching) < 0.12 and abs(m - mu) < 0.15 and t == 0
 
 
+def test_excitation_against_plain_sums():
+    t = np.sort(np.random.default_rng(1).random(300) * 100)
+    for beta in (0.01, 1.0, 50.0):
+        a, b = kernels.excitation(t, beta)
+        gap = t[:, None] - t[None, :]
+        w = np.where(np.tri(300, k=-1) > 0, np.exp(-beta * np.maximum(gap, 0)), 0)
+        assert np.allclose(a, w.sum(1)) and np.allclose(b, (gap * w).sum(1))
+    crowd = np.sort(np.concatenate([k * 10 + np.arange(40) * 1e-3 for k in range(10)]))
+    _, al, be, ll = kernels.fit_hawkes(crowd, 100.0)
+    assert al < be and math.isfinite(ll) and math.isnan(kernels.fit_hawkes(crowd[:19], 100.0)[0])
+
+
+def test_intensity_with_a_prior_on_every_bin():
+    d = np.arange(32) + 0.5
+    fills = {b: 5000 * 2.0 * math.exp(-0.4 * x) for b, x in enumerate(d)}
+    a, k = studies.fit_intensity(dict.fromkeys(range(32), 5000.0), fills)
+    assert abs(a - 2.0) < 0.01 and abs(k - 0.4) < 0.01
+    assert studies.fit_intensity({}, {}, 1.5, 0.2) == pytest.approx((1.5, 0.2))  # without data, the prior
+
+
 def test_token_books_and_windows(spark):
     q = [(0, 0, 1, 1, 4000, 4500, 10, 20), (1, 0, 2, 2, 4000, 5000, 10, 5), (0, 0, 3, 3, 4000, 4400, 10, 30), (1, 0, 4, 4, 4000, 5700, 10, 5)]
     quotes = spark.createDataFrame(q, "token long, grp long, seq long, ts_us long, bid long, ask long, bid_size long, ask_size long")
@@ -271,9 +291,12 @@ def test_models(spark):
 
 
 def test_normal_cdf(spark):
-    xs = [-3.0, -1.0, 0.0, 0.5, 2.5]
+    xs = [-37.0, -8.0, -3.0, -2.999, -1.0, 0.0, 0.5, 2.5, 3.0, 6.0]
     got = col(spark.createDataFrame([(x,) for x in xs], "x double").select(fm.normal_cdf(F.col("x")).alias("p")), "p")
-    assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], abs=2e-7)
+    assert got == pytest.approx([0.5 * math.erfc(-x / math.sqrt(2)) for x in xs], rel=1e-12)
+    ps = [1e-12, 1e-4, 0.3, 0.5, 0.975, 1 - 1e-9]
+    back = spark.createDataFrame([(x,) for x in [*ps, 0.0, 1.0]], "p double").select(fm.normal_quantile(F.col("p")).alias("x"))
+    assert [0.5 * math.erfc(-x / math.sqrt(2)) for x in col(back, "x")[: len(ps)]] == pytest.approx(ps, rel=1e-9) and col(back, "x")[len(ps) :] == [None, None]
 
 
 def test_clock_round_trip(spark):
@@ -322,6 +345,31 @@ def test_virtual_orders_wait_for_the_queue():
     assert x.on_message({"msg_type": "E", "ref": 1, "shares": 40}) == [] and x.queue_ahead(99) == 0
     assert x.on_message({"msg_type": "E", "ref": 3, "shares": 70}) == [(99, 50, 10, True)]
     assert x.submit(98, "B", 12, 30) == [(98, 30, 12, False)]
+    assert x.submit(97, "B", 12, 90) == [(97, 70, 12, False)]  # what was taken is not there again
+    assert x.submit(96, "B", 12, 90, post_only=True) == [] and 96 not in x.mine and x.submit(95, "B", 12, 9, ioc=True) == [] and 95 not in x.mine
+
+
+def test_virtual_orders_sweep_all_levels_and_share_an_execution():
+    x = sim.ReplayExchange()
+    x.start()
+    for k in range(12):
+        x.on_message({"msg_type": "A", "ref": k, "side": "S", "shares": 10, "price": 100 + k})
+    assert sum(n for _, n, _, _ in x.submit(90, "B", 200, 125)) == 120 and x.mine[90].left == 5
+    y = sim.ReplayExchange()
+    y.start()
+    y.submit(90, "B", 10, 30)
+    y.submit(91, "B", 10, 30)
+    y.submit(92, "B", 11, 10)
+    y.on_message({"msg_type": "A", "ref": 5, "side": "B", "shares": 100, "price": 10})
+    assert y.on_message({"msg_type": "E", "ref": 5, "shares": 60}) == [(92, 10, 11, True), (90, 30, 10, True), (91, 20, 10, True)]
+    assert y.counts["diverted"] == 60 and y.counts["through"] == 1
+    assert y.on_message({"msg_type": "P", "ref": None, "side": "B", "shares": 4, "price": 10}) == [(91, 4, 10, True)] and y.counts["hidden"] == 1
+    z = sim.ReplayExchange("through")
+    z.start()
+    z.submit(90, "S", 10, 30)
+    z.on_message({"msg_type": "A", "ref": 5, "side": "S", "shares": 100, "price": 10})
+    z.on_message({"msg_type": "A", "ref": 6, "side": "S", "shares": 100, "price": 11})
+    assert z.on_message({"msg_type": "E", "ref": 5, "shares": 60}) == [] and z.on_message({"msg_type": "E", "ref": 6, "shares": 60}) == [(90, 30, 10, True)]
 
 
 def test_backtests_are_deterministic_and_idle_ones_earn_nothing(spark):
@@ -385,20 +433,77 @@ def test_arbitrage_plans():
     assert pm_exec.choose([10, 0], [1, 4000], [5000, 1], 10**9)[0] == "complete" and pm_exec.choose([10, 0], [1, 9000], [5000, 1], 10**9)[0] == "unwind"
 
 
+def maker_session(faults=None, quoter="skew", **maker):
+    s = pm_exec.Session(quoter, pm_exec.Maker(warm_s=0, **maker), faults)
+    r = random.Random(4)
+    for k in range(600):
+        b = 4800 + r.randrange(40) * 10
+        s.quote(k * 200_000, k % 2, b, 10**8, b + 100, 10**8)
+        s.trade(k * 200_000 + 1, k % 2, b, 10**8)
+    s.finish()
+    return s
+
+
 def test_venue_faults_leave_the_same_books():
-    def run(faults):
-        s = pm_exec.Session(faults=faults)
-        r = random.Random(4)
-        for k in range(600):
-            b = 4800 + r.randrange(40) * 10
-            s.quote(k * 200_000, k % 2, b, 10**8, b + 100, 10**8)
-            s.trade(k * 200_000 + 1, k % 2, b, 10**8)
-        return s
-
-    for faults in (None, {"repeat": 2}, {"repeat": 3, "delay": 4}):
-        s = run(faults)
-        assert s.ledger.balanced() and all(o.filled <= o.size for o in s.oms.orders.values()) and sum(o.filled for o in s.oms.orders.values()) > 0
-    assert run(None).digest == run(None).digest
+    for faults in (None, {"repeat": 2}, {"repeat": 3, "delay": 4}, {"fail": 3, "delay": 5, "repeat": 2}, {"lose": 7, "refuse": 50}):
+        s = maker_session(faults)
+        assert s.ledger.balanced() and all(o.filled <= o.size for o in s.oms.orders.values()) and s.maker_fills + s.taker_fills > 0
+        assert s.ledger.position == s.venue.position and s.risk.why is None and not s.ledger.pending and not s.ledger.orphans
+    assert maker_session().digest == maker_session().digest
+    assert maker_session(fee_ppm=20_000).ledger.fees >= maker_session().ledger.fees == 0
+
+
+def test_kill_switch():
+    r = pm_exec.Risk(reject_spike=2, daily_stop=100)
+    for now in (0.0, 1.0, 20.0, 21.0):
+        r.on_reject(now)
+    assert not r.killed
+    r.on_reject(22.0)
+    assert r.why == "rejects" and r.check(23.0, True, 5000, 1, position=0, gross=0, open_orders=0, total=0, mid=None) == "killed"
+    r.on_tick(-500, 0)
+    assert r.why == "rejects"  # the first reason stands
+    q = pm_exec.Risk(daily_stop=100)
+    q.on_tick(50, -101)
+    assert q.why == "loss"
+    s = maker_session({"refuse": 1})
+    assert s.risk.why == "rejects" and s.halted and all(o.state in pm_exec.FINAL for o in s.oms.orders.values())
+
+
+def test_settlements_may_come_first_and_repeat():
+    k = pm_exec.Ledger()
+    assert not k.settle(1, False)
+    k.fill(1, 0, 10, 5000, 7)
+    assert k.position[0] == 0 and k.cash == k.fees == 0 and not k.settle(1, False)
+    k.fill(2, 0, 10, 5000, 7)
+    assert k.settle(2, True) and not k.settle(2, False) and k.position[0] == 10
+
+
+def test_orders_that_nothing_is_heard_of():
+    o = pm_exec.Oms()
+    o.submit(pm_exec.Order(1, 0, True, 5000, 100, sent_at=0))
+    o.submit(pm_exec.Order(2, 0, True, 5000, 100, sent_at=90))
+    assert o.on_timer(100, 50) == [1] and o.orders[1].state == "unknown" and o.cancel_all() == [1, 2] and o.cancel_all() == []
+
+
+def test_quoters_and_variants(spark):
+    v = pm_exec.QuoteView(4900, 5100, 0.5, 0.0, 1e-4, pm_exec.Maker())
+    b, a = pm_exec.maker_quote("logit", v)
+    risk, half = 0.1 * 1e-4 * 3600, math.log1p(0.1 / 30) / 0.1
+    assert b == math.floor(1e4 / (1 + math.exp(risk / 2 + half)) / 10) * 10 and a == 10_000 - b
+    v.inventory = 2.0
+    assert pm_exec.maker_quote("skew", v) == (4960, 5000)
+    v.inventory = 5.0
+    assert pm_exec.maker_quote("skew", v)[0] is None
+    v.mid = 0.99
+    assert pm_exec.maker_quote("skew", v) == (None, None)
+    assert len(pm_exec.variants(["logit", "skew"], gamma=[0.1, 0.2], k=[10, 30])) == 8
+    for bad in (dict(gamma=list(range(1, 300))), dict(quoters=["none"]), dict(gamma=[-1.0])):
+        with pytest.raises(ValueError):
+            pm_exec.variants(**bad)
+    rows = [(0, 0, k, k * 10**6, 4800 + k % 7 * 10, 4900 + k % 7 * 10, 100, 100) for k in range(300)]
+    q = spark.createDataFrame(rows, "grp long, token long, seq long, ts_us long, bid long, ask long, bid_size long, ask_size long")
+    out = pm_exec.replay(q, runs=pm_exec.variants(["skew"], size=[10_000_000, 20_000_000])).orderBy("run").collect()
+    assert [r["run"] for r in out] == [0, 1] and all(r["balanced"] for r in out) and out[0]["maker_fills"] > 0
 
 
 def test_recordings(spark, tmp_path):

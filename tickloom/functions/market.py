@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,13 +91,65 @@ def section31_fee(notional_usd: Column, ppm: int) -> Column:
     return F.floor(notional_usd) * ppm
 
 
+def sale_fees(price: str, shares: str, per_million: int, taf_share: int, taf_most: int) -> Column:
+    """Regulatory fees of a sale in micro-dollars: so much a million of whole dollars sold, and so much a share up to a bound.
+
+    price in 1e-4 dollars; both parts truncate to integers.
+    """
+    return F.expr(f"({price} * 100 * {shares}) div 1000000 * {per_million} div 1000000") + F.least(F.lit(taf_most), F.lit(taf_share) * F.col(shares))
+
+
+def printable_only() -> Column:
+    """Executions that count as prints: every E, and a C that is marked printable. The book applies the others too."""
+    return (F.col("msg_type") == "E") | ((F.col("msg_type") == "C") & (F.col("printable") == "Y"))
+
+
+def path_date(path: Column) -> Column:
+    """The date in a file's or folder's name, as yyyy-mm-dd or yyyymmdd; the last one counts, null if there is none."""
+    found = F.regexp_extract(path, r"^.*(?<!\d)(20\d\d)-?(0[1-9]|1[0-2])-?(0[1-9]|[12]\d|3[01])(?!\d)", 0)
+    day = F.regexp_replace(F.regexp_extract(found, r"(\d{4}-?\d{2}-?\d{2})$", 1), "-", "")
+    return F.try_to_date(F.nullif(day, F.lit("")), "yyyyMMdd")
+
+
+def valid_id(text: Column) -> Column:
+    """Whether an exchange's id is 1 to 100 decimal digits; null is not."""
+    return F.coalesce(text.rlike(r"\A[0-9]{1,100}\z"), F.lit(False))
+
+
+def one_line(text: Column) -> Column:
+    """Control characters as spaces, so that a text stays one field of a tab-separated line."""
+    return F.regexp_replace(text, r"[\x00-\x1F\x7F]", " ")
+
+
+def row_digest(*columns: str) -> Column:
+    """A 64-bit digest of a row's values; null and an empty text differ."""
+    return F.xxhash64(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+
+
+def upper_tail(x: Column) -> Column:
+    """1 - normal_cdf(x) for x >= 0, to double precision: a power series below 3, a continued fraction beyond."""
+    x2 = x * x
+    density = F.exp(-x2 / 2) / F.lit((2 * math.pi) ** 0.5)
+    step = lambda acc, k: F.struct((acc["t"] * x2 / (2 * k + 1)).alias("t"), (acc["s"] + acc["t"] * x2 / (2 * k + 1)).alias("s"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.alias("t"), x.alias("s")), step, lambda acc: acc["s"])
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), x, lambda acc, k: x + k / acc)
+    return F.when(x < 3, 0.5 - density * series).otherwise(density / fraction)
+
+
 def normal_cdf(x: Column) -> Column:
-    """The normal distribution function, by the error function's rational form; within 1.5e-7."""
-    z = F.abs(x) / F.lit(2**0.5)
-    t = 1 / (1 + 0.3275911 * z)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    half = 0.5 * poly * F.exp(-z * z)
-    return F.when(x >= 0, 1 - half).otherwise(half)
+    """The normal distribution function, to double precision in both tails."""
+    x = x.cast("double")
+    tail = upper_tail(F.abs(x))
+    return F.when(x >= 0, 1 - tail).when(x < 0, tail)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The inverse of normal_cdf on (0, 1), else null: Newton steps on the tail, which near the root from one side."""
+    p = p.cast("double")
+    q = F.least(p, 1 - p)
+    density = lambda x: F.exp(-x * x / 2) / F.lit((2 * math.pi) ** 0.5)
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.lit(0.0), lambda x, _: F.greatest(x + (upper_tail(x) - q) / density(x), F.lit(0.0)))
+    return F.when((p > 0) & (p < 1), F.when(p < 0.5, -x).otherwise(x))
 
 
 def logit(p: Column) -> Column:

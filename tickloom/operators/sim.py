@@ -136,43 +136,63 @@ class Virtual:
     side: str
     price: int
     left: int
-    ahead: int  # real shares that trade first
+    ahead: int  # real shares at its price that came before it
+    rank: tuple[int, int]
 
 
 class ReplayExchange(BookState):
     """A recorded book with virtual orders in its queues.
 
-    A virtual order joins behind the real shares at its price. Executions at its price eat what is
-    ahead, then fill it (from shares that the record gave to others: ``diverted``); a trade through its
-    price fills it; cancels ahead move it up in proportion (``optimistic``) or only when the queue is
-    shorter than what was ahead. A virtual order that crosses takes the real best's shares at once.
+    Ranks at a price follow references, which are given on receipt; a virtual order ranks behind every
+    reference seen so far. An execution of a real order first fills the virtual orders that rank
+    before it: at better prices (``through``), and, under the rule "queue", at its price. All of them
+    share the execution's size (``diverted``). A hidden print fills what it reaches on either side,
+    behind the displayed orders. A virtual order that crosses takes real orders, best first, each for
+    what none of ours has taken from it.
     """
 
-    def __init__(self, optimistic: bool = False) -> None:
-        self.optimistic = optimistic
+    def __init__(self, rule: str = "queue") -> None:
+        if rule not in ("queue", "through"):
+            raise ValueError(f"unknown fill rule {rule}")
+        self.rule = rule
 
     def start(self) -> None:
         super().start()
         self.mine: dict[int, Virtual] = {}
-        self.counts = {"diverted": 0, "taken": 0, "through": 0}
+        self.used: dict[int, int] = {}  # real reference -> shares that ours took
+        self.seen, self.n = 0, 0
+        self.counts = {"diverted": 0, "taken": 0, "through": 0, "hidden": 0}
 
     def quote(self) -> tuple:
         b, a = self.sides["B"].best(), self.sides["S"].best()
         return (*(b or (None, 0)), *(a or (None, 0)))
 
-    def submit(self, ref: int, side: str, price: int, shares: int) -> list[tuple]:
-        """Fills (ref, shares, price, maker) at once, if it crosses; the rest joins the queue."""
+    def submit(self, ref: int, side: str, price: int, shares: int, *, ioc: bool = False, post_only: bool = False) -> list[tuple]:
+        """Fills (ref, shares, price, maker) at once, if it crosses; the rest joins the queue unless immediate-or-cancel.
+
+        A post-only order that would trade is refused: no fills, and no such order after.
+        """
+        other = "S" if side == "B" else "B"
+        best = self.sides[other].best()
+        crosses = best is not None and (best[0] <= price if side == "B" else best[0] >= price)
+        if crosses and post_only:
+            return []
         fills = []
-        other = self.sides["S" if side == "B" else "B"]
-        for p, q in other.top(10):
-            if not shares or (p > price if side == "B" else p < price):
-                break
-            n = min(shares, q)
-            shares -= n
-            self.counts["taken"] += n
-            fills.append((ref, n, p, False))
-        if shares:
-            self.mine[ref] = Virtual(ref, side, price, shares, self.sides[side].qty.get(price, 0))
+        if crosses:
+            met = sorted((o[1] if side == "B" else -o[1], r) for r, o in self.orders.items() if o[0] == other and (o[1] <= price if side == "B" else o[1] >= price))
+            for _, r in met:
+                n = min(shares, self.orders[r][2] - self.used.get(r, 0))
+                if n <= 0:
+                    continue
+                self.used[r] = self.used.get(r, 0) + n
+                self.counts["taken"] += n
+                shares -= n
+                fills.append((ref, n, self.orders[r][1], False))
+                if not shares:
+                    break
+        if shares and not ioc:
+            self.n += 1
+            self.mine[ref] = Virtual(ref, side, price, shares, self.sides[side].qty.get(price, 0), (self.seen, self.n))
         return fills
 
     def cancel(self, ref: int) -> bool:
@@ -181,38 +201,44 @@ class ReplayExchange(BookState):
     def queue_ahead(self, ref: int) -> int | None:
         return self.mine[ref].ahead if ref in self.mine else None
 
+    def _fill(self, side: str, price: int, rank: tuple | None, shares: int, hidden: bool = False) -> list[tuple]:
+        """Fills of virtual orders that rank before a trade, at most its shares; rank None is behind all."""
+        sign, fills = -1 if side == "B" else 1, []
+        for v in sorted((v for v in self.mine.values() if v.side == side), key=lambda v: (sign * v.price, v.rank)):
+            through = sign * v.price < sign * price
+            at = v.price == price and self.rule == "queue" and (rank is None or v.rank < rank)
+            if not shares or not (through or at):
+                continue
+            n = min(shares, v.left)
+            shares -= n
+            v.left -= n
+            self.counts["through"] += through
+            self.counts["hidden"] += hidden
+            fills.append((v.ref, n, v.price, True))
+            if not v.left:
+                del self.mine[v.ref]
+        return fills
+
     def on_message(self, m: dict) -> list[tuple]:
         """Applies a recorded message; fills of virtual orders that it brings about."""
-        o = self.orders.get(m["ref"])
-        kind, fills = m["msg_type"], []
-        if o is not None and kind in ("E", "C"):
-            side, price, left = o[0], o[1], min(m["shares"] or 0, o[2])
-            for v in sorted((v for v in self.mine.values() if v.side == side), key=lambda v: (-v.price if side == "B" else v.price, v.ref)):
-                if not left:
-                    break
-                if v.price == price:
-                    eaten = min(left, v.ahead)
-                    v.ahead -= eaten
-                    n = min(left - eaten, v.left)
-                    self.counts["diverted"] += n
-                elif v.price > price if side == "B" else v.price < price:
-                    n = min(left, v.left)
-                    self.counts["through"] += n
-                else:
-                    continue
-                if n:
-                    v.left -= n
-                    fills.append((v.ref, n, v.price, True))
-                    if not v.left:
-                        del self.mine[v.ref]
-        elif o is not None and kind in ("X", "D", "U"):
-            gone = min(m["shares"] or 0, o[2]) if kind == "X" else o[2]
-            level = self.sides[o[0]].qty.get(o[1], 0)
+        kind, ref, fills = m["msg_type"], m["ref"], []
+        o = self.orders.get(ref)
+        if kind == "P":
+            fills = self._fill("B", m["price"], None, m["shares"], True)
+            return fills + self._fill("S", m["price"], None, m["shares"] - sum(f[1] for f in fills), True)
+        if o is not None and kind in ("E", "C", "X", "D", "U"):
+            side, price, left = o
+            gone = left if kind in ("D", "U") else min(m["shares"] or 0, left)
+            if kind in ("E", "C"):
+                fills = self._fill(side, price, (ref, 0), gone)
+                self.counts["diverted"] += sum(f[1] for f in fills)
+        if self.apply(m) and o is not None and kind in ("E", "C", "X", "D", "U"):
             for v in self.mine.values():
-                if v.side == o[0] and v.price == o[1]:
-                    behind = max(0, level - v.ahead)
-                    v.ahead -= min(v.ahead, gone * v.ahead // max(level, 1) if self.optimistic else max(0, gone - behind))
-        self.apply(m)
+                if v.side == side and v.price == price and v.rank > (ref, 0):
+                    v.ahead -= min(v.ahead, gone)
+            if ref not in self.orders:
+                self.used.pop(ref, None)
+        self.seen = max(self.seen, ref or 0, m.get("new_ref") or 0)
         return fills
 
 
@@ -325,7 +351,7 @@ class Backtest:
     def __init__(self, name: str, params: dict, data_us: int = 50, order_us: int = 50, report_us: int = 50, shares: int = 100, limits: Limits | None = None, fee: int = 0) -> None:
         self.decide, self.params = STRATEGIES[name], params
         self.delays, self.shares, self.limits, self.fee = (data_us, order_us, report_us), shares, limits or Limits(), fee
-        self.exchange, self.queue = ReplayExchange(params.get("optimistic", False)), Scheduler()
+        self.exchange, self.queue = ReplayExchange(params.get("rule", "queue")), Scheduler()
         self.exchange.start()
         self.refs = itertools.count(1 << 39)
         self.working: dict[str, tuple[int, int] | None] = {"B": None, "S": None}

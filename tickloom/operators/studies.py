@@ -80,29 +80,37 @@ def sweep_totals(runs: DataFrame, params: list[str]) -> DataFrame:
     return runs.groupBy(*params).agg(F.count(F.lit(1)).alias("runs"), F.sum("total").alias("total"), F.sum("fills").alias("fills")).orderBy(F.desc("total"), *params)
 
 
-def fit_intensity(exposure: list[float], fills: list[float], distance: list[float], a0: float = 1.0, k0: float = 0.1, prior: float = 1.0, rounds: int = 50) -> tuple[float, float]:
-    """(A, k) of a fill rate A e^(-k distance) by Poisson likelihood with a weak prior, by Newton steps.
+BINS = 32
 
-    Takes exposure time and fills by distance bin, which an aggregation gives.
+
+def fit_intensity(exposure: dict[int, float], fills: dict[int, float], a0: float = 1.0, k0: float = 0.1, prior: float = 1.0, width: float = 1.0, rounds: int = 50) -> tuple[float, float]:
+    """(A, k) of a fill rate A e^(-k distance) by Poisson likelihood, by Newton steps.
+
+    Takes exposure time and fills by distance bin, which an aggregation gives. Every one of the bins
+    also has ``prior`` seconds of exposure at the rate that (a0, k0) give, so bins without data count.
     """
-    t, n, d = (np.append(np.array(x, float), y) for x, y in ((exposure, prior), (fills, prior * a0 * math.exp(-k0)), (distance, 1.0)))
+    d = (np.arange(BINS) + 0.5) * width
+    t = np.array([exposure.get(b, 0.0) for b in range(BINS)]) + prior
+    n = np.array([fills.get(b, 0.0) for b in range(BINS)]) + prior * a0 * np.exp(-k0 * d)
     la, k = math.log(a0), k0
     for _ in range(rounds):
         rate = t * np.exp(la - k * d)
-        grad = np.array([(n - rate).sum(), -(d * (n - rate)).sum()])
-        hess = np.array([[rate.sum(), -(d * rate).sum()], [-(d * rate).sum(), (d * d * rate).sum()]]) + 1e-9 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        step *= min(1.0, 1.0 / max(1e-12, float(np.abs(step).max())))
-        la, k = la + step[0], k + step[1]
+        grad = np.array([(n - rate).sum(), (d * (rate - n)).sum()])
+        hess = np.array([[rate.sum(), -(d * rate).sum()], [-(d * rate).sum(), (d * d * rate).sum()]])
+        if np.linalg.det(hess) <= 0:
+            break
+        step = np.clip(np.linalg.solve(hess, grad), [-1.0, -0.5], [1.0, 0.5])
+        la, k = la + step[0], min(max(k + step[1], 1e-3), 10.0)
         if float(np.abs(step).max()) < 1e-10:
             break
     return math.exp(la), float(k)
 
 
-def intensity_bins(orders: DataFrame, bins: int, width: float) -> DataFrame:
-    """Exposure and fills by distance bin of (distance, exposed, filled) rows."""
-    b = F.least(F.floor(F.col("distance") / width), F.lit(bins - 1)).cast("int")
-    return orders.groupBy(b.alias("bin")).agg(F.sum("exposed").alias("exposure"), F.sum(F.col("filled").cast("long")).alias("fills")).orderBy("bin")
+def intensity_bins(orders: DataFrame, width: float = 1.0, age: str | None = None, memory: float = 600.0) -> DataFrame:
+    """Exposure and fills by distance bin of (distance, exposed, filled) rows; with an age, both fade by e^(-age / memory)."""
+    b = F.greatest(F.least(F.floor(F.col("distance") / width), F.lit(BINS - 1)), F.lit(0)).cast("int")
+    w = F.exp(-F.col(age) / memory) if age else F.lit(1.0)
+    return orders.groupBy(b.alias("bin")).agg(F.sum(F.col("exposed") * w).alias("exposure"), F.sum(F.col("filled").cast("double") * w).alias("fills"))
 
 
 def write_run(fills: DataFrame, minutes: DataFrame, summary: DataFrame, path: str) -> None:

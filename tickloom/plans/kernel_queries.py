@@ -99,6 +99,13 @@ def r13_maker_sessions(spark, sf_dir):
     return pm_exec.replay(ad.pm_quotes(ad.events(spark, sf_dir)), {"repeat": 5, "delay": 7})
 
 
+@R.add()
+def r17_maker_sweep(spark, sf_dir):
+    """Quoters and settings over every group's quotes, with fees and failing settlements."""
+    runs = pm_exec.variants(["logit", "skew"], gamma=[0.1, 0.5], fee_ppm=[0, 20_000])
+    return pm_exec.replay(ad.pm_quotes(ad.events(spark, sf_dir)), {"repeat": 5, "fail": 11}, runs)
+
+
 @R.add()
 def s25_random_flow(spark, sf_dir):
     return kernels.sweep(flows.generate(spark, "random", 7, 4, 2000)).groupBy("symbol").agg(F.count(F.lit(1)).alias("msgs"), F.count(F.when(~F.col("ok"), 1)).alias("refused"))

@@ -70,6 +70,6 @@ def e20_fill_intensity(spark, sf_dir):
     m = ad.messages(quotes(spark, sf_dir))
     lives = book.order_lives(m)
     orders = lives.select((F.col("shares") % 32).cast("double").alias("distance"), ((F.coalesce("end_ts", "add_ts") - F.col("add_ts")) / 3.6e9).alias("exposed"), (F.col("executed") > 0).alias("filled"))
-    bins = studies.intensity_bins(orders, 32, 1.0).collect()
-    a, k = studies.fit_intensity([float(b["exposure"]) for b in bins], [float(b["fills"]) for b in bins], [b["bin"] + 0.5 for b in bins])
+    bins = studies.intensity_bins(orders).collect()  # at most 32 rows
+    a, k = studies.fit_intensity({b["bin"]: b["exposure"] for b in bins}, {b["bin"]: b["fills"] for b in bins})
     return spark.createDataFrame([(round(a, 6), round(k, 6))], "a double, k double")
