@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import market as fm
-from tickloom.functions import models
+from tickloom.functions import models, settings
 from tickloom.operators import book, kernels, micro, pm, pm_exec, sim, stats, studies, surveil
 from tickloom.operators.asof import asof
-from tickloom.sources import flows, itch, recordings
+from tickloom.sources import flows, itch, recordings, runs
 
 QUOTE = "symbol long, seq long, ts_us long, bid_px long, bid_qty long, ask_px long, ask_qty long"
 MESSAGE = "symbol long, seq long, ts_us long, msg_type string, ref long, new_ref long, side string, shares long, price long"
@@ -594,3 +594,60 @@ def test_ridge_and_component(spark):
     w, share = micro.first_component(df, ["a", "b"])
     assert w == pytest.approx([0.5, 0.5], abs=0.01) and share > 0.99
     assert micro.ridge(df, ["a", "b"], "y", 1e-9) == pytest.approx([2, 3, -1], abs=1e-3)
+
+
+def test_counts_of_a_file_with_a_directory_and_a_cut_end(spark, tmp_path):
+    head = {"locate": 7, "ts_ns": 5}
+    good = [{"msg_type": "A", "ref": 1, "side": "B", "shares": 5, "stock": "OTHER", "price": 10} | head, {"msg_type": "R", "stock": "NAME", "category": "Q", "round_lot": 100} | head]
+    data = b"".join(itch.encode(m) for m in good) + b"\x00\x02?!" + b"\x00\x24A"
+    (tmp_path / "day").write_bytes(data)
+    m = itch.read_days(spark, str(tmp_path / "day")).cache()
+    assert itch.file_counts(m).select("frames", "bad", "trailing").collect() == [(3, 1, 3)]
+    assert m.where("msg_type = 'R'").select("stock", "category", "round_lot").collect() == [("NAME", "Q", 100)]
+    assert {r["status"] for r in itch.split_rejects(m)[1].collect()} == {"unknown_type"}
+    itch.ingest(m, str(tmp_path / "store"), "2025-01-02")
+    assert itch.symbol_scan(spark, str(tmp_path / "store"), "2025-01-02", "NAME").count() == 2
+
+
+def test_settings_are_strict():
+    known = {"gamma": settings.Bound(0, 1), "runs": settings.Bound(1, 9, True)}
+    assert settings.parse("# none\n gamma = 0.5 # half\r\n\nruns=3", known) == {"gamma": 0.5, "runs": 3}
+    for text, why in (("gamma", "expected"), ("x = 1", "unknown"), ("gamma=1\ngamma=1", "t:2: repeated"), ("gamma = 1a", "not a number"), ("gamma = nan", "not a number"), ("gamma =", "not a number"), ("runs = 1.5", "integer"), ("gamma = 2", "outside")):
+        with pytest.raises(ValueError, match=why):
+            settings.parse(text, known, "t")
+
+
+def test_ids_lines_and_dates(spark):
+    df = spark.createDataFrame([("12",), ("",), ("1a",), ("1\n",), ("9" * 101,), (None,)], "x string")
+    assert col(df.select(fm.valid_id(F.col("x")).alias("g")), "g") == [True, False, False, False, False, False]
+    assert col(df.select(fm.one_line(F.col("x")).alias("g")), "g")[3] == "1 "
+    paths = spark.createDataFrame([("a/2012-06-21/x",), ("a/S062112/20240131_34200000",), ("a/b",), ("a/20241340",), (None,)], "p string")
+    assert [str(d) if d else None for d in col(paths.select(fm.path_date(F.col("p")).alias("d")), "d")] == ["2012-06-21", "2024-01-31", None, None, None]
+
+
+def test_recordings_are_compacted_to_whole_lines(spark, tmp_path):
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "h.jsonl").write_bytes(b'1 {"a": 1}\n2 {"b": [1, 2]}\n3 {"a": \n\x00\x00\x00')
+    got = recordings.compact(spark, str(tmp_path / "raw"), str(tmp_path / "out")).collect()
+    assert got == [(4, 2)] and sorted(col(spark.read.text(str(tmp_path / "out")), "value")) == ['1 {"a": 1}', '2 {"b": [1, 2]}']
+
+
+def test_session_files_round_trip(spark, tmp_path):
+    text = "token\t11\tc1\tYes\t0.01\t5.0\t1\t0\t200\t1\t30\ntoken\t12\tc1\tNo\t0.01\t5.0\t1\t0\t200\t1\t30\ngroup\tg\t12\t11\n"
+    (tmp_path / "s").write_text(text)
+    tokens, groups = recordings.session(spark, str(tmp_path / "s"))
+    recordings.write_session(tokens, groups, str(tmp_path / "again"))
+    back = recordings.session(spark, str(tmp_path / "again"))
+    assert back[0].collect() == tokens.orderBy("token").collect() and back[1].orderBy("leg").collect() == groups.orderBy("leg").collect()
+
+
+def test_runs_written_and_listed(spark, tmp_path):
+    fills = spark.createDataFrame([("a", 10, 5, 100), ("a", 70, -2, 101), ("b", 5, 1, 7)], "run string, ts_us long, signed long, price long")
+    line = runs.timeline(fills, 60).orderBy("run", "bucket").collect()
+    assert [tuple(r) for r in line] == [("a", 0, 1, 5, 5, -500), ("a", 1, 1, 2, 3, -298), ("b", 0, 1, 1, 1, -7)]
+    why = spark.createDataFrame([("a", "rate"), ("a", "rate")], "run string, reason string")
+    for name in ("first", "second"):
+        runs.write_session_report(fills, why, studies.latency_histogram(fills, "ts_us"), fills.groupBy("run").count(), str(tmp_path / name), 60)
+    assert spark.read.option("header", "true").csv(str(tmp_path / "first" / "filters")).collect() == [("a", "rate", "2")]
+    board = runs.leaderboard(spark, str(tmp_path), 3).collect()
+    assert len(board) == 3 and board[0]["run_path"] == "second"

@@ -106,7 +106,7 @@ def printable_only() -> Column:
 
 def path_date(path: Column) -> Column:
     """The date in a file's or folder's name, as yyyy-mm-dd or yyyymmdd; the last one counts, null if there is none."""
-    found = F.regexp_extract(path, r"^.*(?<!\d)(20\d\d)-?(0[1-9]|1[0-2])-?(0[1-9]|[12]\d|3[01])(?!\d)", 0)
+    found = F.regexp_extract(path, r"^.*(?<!\d)((?:19|20)\d\d)-?(0[1-9]|1[0-2])-?(0[1-9]|[12]\d|3[01])(?!\d)", 0)
     day = F.regexp_replace(F.regexp_extract(found, r"(\d{4}-?\d{2}-?\d{2})$", 1), "-", "")
     return F.try_to_date(F.nullif(day, F.lit("")), "yyyyMMdd")
 

@@ -168,10 +168,17 @@ def invariants(deltas: DataFrame, lives: DataFrame) -> DataFrame:
 
 
 def lobster(messages: DataFrame, lives: DataFrame) -> DataFrame:
-    """Level-book export rows: 1 add, 2 partial cancel, 3 delete, 4 execution; a replace is a 3 and then a 1."""
+    """Level-book export rows: 1 add, 2 partial cancel, 3 delete, 4 execution, 5 hidden print, 6 cross, 7 halt state.
+
+    A replace is a 3 and then a 1. Crosses and states have id 0 and direction -1; the price of a state is
+    1 (trading), 0 (quotes only) or -1. Messages without a ``state`` column have no states.
+    """
     known = lives.select("symbol", "ref", F.col("side").alias("own_side"), F.col("price").alias("own_price"), (F.col("shares") - F.col("executed") - F.col("cancelled")).alias("own_left"))
     joined = messages.join(known, ["symbol", "ref"], "left")
-    sign = F.when(F.coalesce("side", "own_side") == "B", 1).otherwise(-1)
+    sign = F.when(F.col("msg_type").isin("Q", "H"), -1).when(F.coalesce("side", "own_side") == "B", 1).otherwise(-1)
+    none = F.lit(0).cast("long")
+    state = F.col("state") if "state" in messages.columns else F.lit(None)
+    traded = F.when(state == "T", 1).when(state == "Q", 0).otherwise(-1).cast("long")
     row = lambda kind, ref, size, price: F.struct(F.lit(kind).alias("kind"), ref.alias("id"), size.alias("size"), price.alias("price"))
     gone = row(3, F.col("ref"), F.col("own_left"), F.col("own_price"))
     rows = (
@@ -180,6 +187,9 @@ def lobster(messages: DataFrame, lives: DataFrame) -> DataFrame:
         .when(F.col("msg_type") == "D", F.array(gone))
         .when(F.col("msg_type").isin("E", "C"), F.array(row(4, F.col("ref"), F.col("shares"), F.col("own_price"))))
         .when(F.col("msg_type") == "U", F.array(gone, row(1, F.col("new_ref"), F.col("shares"), F.col("price"))))
+        .when(F.col("msg_type") == "P", F.array(row(5, F.coalesce("ref", none), F.col("shares"), F.col("price"))))
+        .when(F.col("msg_type") == "Q", F.array(row(6, none, F.col("shares"), F.col("price"))))
+        .when(F.col("msg_type") == "H", F.array(row(7, none, none, traded)))
     )
     told = joined.select("symbol", "seq", "ts_us", sign.alias("dir"), F.posexplode(rows).alias("part", "r"))
     return told.select("symbol", "seq", "ts_us", F.col("part").cast("long").alias("part"), F.col("r.kind").cast("long").alias("kind"), F.col("r.id").alias("id"), F.col("r.size").alias("size"), F.col("r.price").alias("price"), F.col("dir").cast("long").alias("dir"))

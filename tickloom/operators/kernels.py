@@ -293,10 +293,10 @@ def features(events: DataFrame, **how) -> DataFrame:
 def excitation(t: np.ndarray, beta: float) -> tuple[np.ndarray, np.ndarray]:
     """Sums of exp(-beta (t_i - t_j)) over the events before each, and the same weighted by t_i - t_j.
 
-    Taken in blocks within which the exponentials stay small, so that a block is two running sums.
+    Taken in blocks within which the exponentials stay finite, so that a block is two running sums.
     """
     a, b = np.empty(len(t)), np.empty(len(t))
-    edges = np.flatnonzero(np.diff(np.floor(beta * (t - t[0]) / 30))) + 1
+    edges = np.flatnonzero(np.diff(np.floor(beta * (t - t[0]) / 600))) + 1
     carry = lag = 0.0
     last = t[0]
     for lo, hi in zip([0, *edges], [*edges, len(t)], strict=True):

@@ -46,6 +46,11 @@ def token_totals(changes: DataFrame) -> DataFrame:
     )
 
 
+def by_notional(totals: DataFrame, top: int) -> DataFrame:
+    """The tokens that traded most by notional; ties by token."""
+    return totals.orderBy(F.desc("notional"), "token").limit(top)
+
+
 def time_weighted(quotes: DataFrame) -> DataFrame:
     """Spread and depth by the time each two-sided, uncrossed quote stood."""
     w = Window.partitionBy("token").orderBy("seq")

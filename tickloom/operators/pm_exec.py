@@ -49,10 +49,12 @@ class Oms:
     def __init__(self) -> None:
         self.orders: dict[int, Order] = {}
         self.early: dict[int, list[tuple]] = defaultdict(list)
+        self.unheard: deque[int] = deque()  # in order of sending
         self.odd = 0
 
     def submit(self, o: Order) -> None:
         self.orders[o.ref] = o
+        self.unheard.append(o.ref)
         for report in self.early.pop(o.ref, []):
             self.on_report(o.ref, *report)
 
@@ -69,9 +71,12 @@ class Oms:
 
     def on_timer(self, now: int, patience_us: int) -> list[int]:
         """Orders that nothing was heard of for too long become unknown; their references."""
-        late = [o.ref for o in self.orders.values() if o.state == "sent" and now - o.sent_at > patience_us]
-        for ref in late:
-            self.on_report(ref, "timeout")
+        late = []
+        while self.unheard and ((o := self.orders[self.unheard[0]]).state != "sent" or now - o.sent_at > patience_us):
+            if o.state == "sent":
+                self.on_report(o.ref, "timeout")
+                late.append(o.ref)
+            self.unheard.popleft()
         return late
 
     def on_report(self, ref: int, kind: str, fill_id: int | None = None, size: int = 0) -> int:

@@ -111,9 +111,3 @@ def intensity_bins(orders: DataFrame, width: float = 1.0, age: str | None = None
     b = F.greatest(F.least(F.floor(F.col("distance") / width), F.lit(BINS - 1)), F.lit(0)).cast("int")
     w = F.exp(-F.col(age) / memory) if age else F.lit(1.0)
     return orders.groupBy(b.alias("bin")).agg(F.sum(F.col("exposed") * w).alias("exposure"), F.sum(F.col("filled").cast("double") * w).alias("fills"))
-
-
-def write_run(fills: DataFrame, minutes: DataFrame, summary: DataFrame, path: str) -> None:
-    """A run's fills, minutes and summary as CSV with headers."""
-    for name, table in (("fills", fills), ("pnl_minutes", minutes), ("summary", summary)):
-        table.write.option("header", "true").csv(f"{path}/{name}")

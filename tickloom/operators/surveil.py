@@ -86,6 +86,11 @@ def summary(candidates: DataFrame) -> DataFrame:
     return candidates.agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("symbol").alias("symbols"))
 
 
+def most_flagged(candidates: DataFrame, top: int = 10) -> DataFrame:
+    """The symbols with most candidates; ties by symbol."""
+    return candidates.groupBy("symbol").agg(F.count(F.lit(1)).alias("candidates")).orderBy(F.desc("candidates"), "symbol").limit(top)
+
+
 def layers(attributed: DataFrame, burst_us: int, max_life_us: int, min_orders: int, min_levels: int, min_shares: int) -> DataFrame:
     """Bursts of one participant's orders on one side, cancelled unfilled and soon, over several levels.
 

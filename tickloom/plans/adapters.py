@@ -77,6 +77,15 @@ def messages(quotes: DataFrame) -> DataFrame:
     )
 
 
+def prints(quotes: DataFrame) -> DataFrame:
+    """Messages that touch no order: hidden prints and crosses at purchases, trading states at signups."""
+    buys, k = F.col("event_type") == "purchase", F.col("seq") % 3
+    return quotes.where("event_type in ('purchase', 'signup')").select(
+        "symbol", "seq", "ts_us", F.when(~buys, "H").when(k == 0, "Q").otherwise("P").alias("msg_type"), F.when(buys & (k != 0), F.col("seq")).alias("ref"), F.lit(None).cast("long").alias("new_ref"), F.when(buys & (k != 0), "B").alias("side"),
+        F.when(buys, F.col("v") + 1).alias("shares"), F.when(buys, F.col("ask_px")).alias("price"), F.when(~buys, F.when(k == 0, "T").when(k == 1, "Q").otherwise("H")).alias("state"),
+    )
+
+
 def pm_changes(raw: DataFrame) -> DataFrame:
     """Prediction-market level changes: token, grp, px (1 to 9999), size, buy."""
     t = tape(raw)
@@ -101,6 +110,7 @@ CTES = {
     "tape": "select user_id as symbol, event_id as seq, epoch_us(ts) as ts_us, cast(round(value * 100) as bigint) as v, event_type from events",
     "bbo": "select symbol, seq, ts_us, v, event_type, bid_px, bid_px + 100 * (1 + seq % 3) as ask_px, 100 + v % 900 as bid_qty, 100 + (v * 7) % 900 as ask_qty from (select *, cast(100000 + 100 * sum(case event_type when 'click' then 1 when 'view' then -1 else 0 end) over (partition by symbol order by seq rows unbounded preceding) as bigint) as bid_px from tape)",
     "trades": "select symbol, seq, ts_us, case when seq % 2 = 0 then 1 else -1 end as dir, v + 1 as shares, case when seq % 5 = 0 then bid_px + 50 when seq % 2 = 0 then ask_px else bid_px end as price, seq % 5 = 0 as hidden, bid_px, ask_px from bbo where event_type = 'purchase'",
+    "prints": "select symbol, seq, case event_type when 'signup' then 7 else case when seq % 3 = 0 then 6 else 5 end end as kind, case when event_type = 'purchase' and seq % 3 <> 0 then seq else 0 end as id, case event_type when 'purchase' then v + 1 else 0 end as size, case event_type when 'purchase' then ask_px else case seq % 3 when 0 then 1 when 1 then 0 else -1 end end as price, case when event_type = 'purchase' and seq % 3 <> 0 then 1 else -1 end as dir from bbo where event_type in ('purchase', 'signup')",
     "numbered": "select *, rn // 5 as chunk, rn % 5 as step from (select *, row_number() over (partition by symbol order by seq) - 1 as rn from bbo)",
     "chunked": "select *, first_value(seq) over w as root, first_value(v) over w as c, max(case when step = 1 then seq end) over (partition by symbol, chunk) as s1, max(case when step = 2 then seq end) over (partition by symbol, chunk) as s2, max(case when step = 3 then seq end) over (partition by symbol, chunk) as s3, cast(chunk % 3 as int) as form, substr(case chunk % 3 when 0 then 'AEXUD' when 1 then 'AUUED' else 'AEEAD' end, cast(step + 1 as int), 1) as msg_type from numbered window w as (partition by symbol, chunk order by seq)",
     "messages": "select symbol, seq, ts_us, msg_type, case when form = 1 and step > 2 then s2 when form = 1 and step = 2 then s1 when form <> 1 and step = 4 then s3 when form = 2 and step = 3 then seq else root end as ref, case when msg_type = 'U' then seq end as new_ref, case when msg_type = 'A' then case when chunk % 2 = 0 then 'B' else 'S' end end as side, case msg_type when 'A' then 2 * c + 10 when 'U' then c + 5 when 'X' then 1 when 'E' then case when form = 2 and step = 2 then c + 9 else c + 1 end end as shares, case msg_type when 'A' then case when chunk % 2 = 0 then bid_px else ask_px end when 'U' then case when chunk % 2 = 0 then bid_px - 100 else ask_px + 100 end end as price from chunked",
@@ -115,7 +125,7 @@ CTES = {
     "deltas": "select symbol, add_seq as seq, add_ts as ts_us, side, price, shares as dqty from orders_t union all select m.symbol, m.seq, m.ts_us, o.side, o.price, -m.shares from messages m join orders_t o on m.symbol = o.symbol and m.ref = o.ref where m.msg_type in ('E', 'X') union all select symbol, end_seq, end_ts, side, price, -(shares - executed - cancelled) from orders_t where end_kind in ('D', 'U')",
 }
 NEEDS = {
-    "bbo": "tape", "trades": "bbo", "numbered": "bbo", "chunked": "numbered", "messages": "chunked", "pm": "tape", "pmq": "pm",
+    "bbo": "tape", "trades": "bbo", "prints": "bbo", "numbered": "bbo", "chunked": "numbered", "messages": "chunked", "pm": "tape", "pmq": "pm",
     "chain": "messages", "lives": "chain", "spent": "lives", "ends": "messages", "orders_t": "lives spent ends", "deltas": "orders_t",
 }
 

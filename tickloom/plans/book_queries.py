@@ -116,3 +116,10 @@ def l6_invariants(spark, sf_dir):
 def l9_lobster_events(spark, sf_dir):
     m = _messages(spark, sf_dir)
     return book.lobster(m, book.order_lives(m)).drop("ts_us")
+
+
+@R.add(ad.sql("select symbol, seq, cast(0 as bigint) as part, cast(kind as bigint) as kind, id, size, price, cast(dir as bigint) as dir from prints", "prints"))
+def l9_lobster_prints(spark, sf_dir):
+    """Export rows of messages that touch no order."""
+    q = ad.bbo(ad.events(spark, sf_dir))
+    return book.lobster(ad.prints(q), book.order_lives(ad.messages(q))).drop("ts_us")

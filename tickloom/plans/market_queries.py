@@ -49,6 +49,19 @@ def a25_spoof_summary(spark, sf_dir):
     return surveil.summary(surveil.spoofs(m, lives, q, 4 * DAY_US, 200, 10, 0))
 
 
+@R.add(ad.sql(f"with {SPOOFS} select symbol, ref, shares, cast(case when side = 'B' then es - as_ else eb - ab end as bigint) as opposite from e where case when side = 'B' then es - as_ else eb - ab end >= 0 order by opposite desc, shares desc, symbol, ref limit 20", "orders_t"))
+def t2_ranked_spoofs(spark, sf_dir):
+    m, lives, q = _log(spark, sf_dir)
+    found = surveil.spoofs(m, lives, q, 4 * DAY_US, 200, 10, 0)
+    return surveil.ranked(found, [F.desc("opposite"), F.desc("shares"), F.col("symbol"), F.col("ref")], 20).select("symbol", "ref", "shares", "opposite")
+
+
+@R.add(ad.sql(f"with {SPOOFS} select symbol, count(*) as candidates from e where case when side = 'B' then es - as_ else eb - ab end >= 0 group by symbol order by candidates desc, symbol limit 10", "orders_t"))
+def a25_most_flagged(spark, sf_dir):
+    m, lives, q = _log(spark, sf_dir)
+    return surveil.most_flagged(surveil.spoofs(m, lives, q, 4 * DAY_US, 200, 10, 0))
+
+
 @R.add(ad.sql("with q as (select symbol, seq, bid_px, ask_px from bbo) select o.symbol, o.ref, coalesce(case when side = 'B' then price >= ask_px else price <= bid_px end, false) as crosses, not coalesce(case when side = 'B' then price >= ask_px else price <= bid_px end, false) and coalesce(case when side = 'B' then price >= bid_px else price <= ask_px end, true) as touch from orders_t o asof left join q on o.symbol = q.symbol and o.add_seq > q.seq", "orders_t"))
 def p8_touch_classes(spark, sf_dir):
     _, lives, q = _log(spark, sf_dir)
@@ -99,6 +112,11 @@ def a22_token_totals(spark, sf_dir):
     return pm.token_totals(_changes(spark, sf_dir))
 
 
+@R.add(ad.sql("select token, cast(sum(case when is_trade then size * px else 0 end) as bigint) as notional, cast(sum(case when is_trade then size else 0 end) as bigint) as shares from pm group by token order by notional desc, token limit 10", "pm"))
+def t4_tokens_by_notional(spark, sf_dir):
+    return pm.by_notional(pm.token_totals(_changes(spark, sf_dir)), 10).select("token", "notional", "shares")
+
+
 @R.add(ad.sql("with q as (select *, lead(ts_us) over (partition by token order by seq) - ts_us as dt from pmq) select token, cast(sum(dt) as bigint) as time_us, round(sum((ask - bid) * dt) / sum(dt), 4) as spread, round(sum((bid_size + ask_size) * dt) / sum(dt), 4) as depth from q where dt is not null and ask > bid group by token", "pmq"))
 def a21_time_weighted(spark, sf_dir):
     return pm.time_weighted(ad.pm_quotes(ad.events(spark, sf_dir)))
@@ -302,3 +320,44 @@ def j12_metadata_join(spark, sf_dir):
     c = read("customer").select("c_custkey", "c_nationkey")
     named = o.join(c, o["o_custkey"] == c["c_custkey"]).join(F.broadcast(read("nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"), "left")  # 25 nations
     return named.groupBy(F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.sum("cents").alias("total"))
+
+
+@R.add(ad.sql("with e as (select symbol, shares, case when seq % 4 = 0 then case when seq % 8 = 0 then 'N' else 'Y' end end as printable from messages where msg_type = 'E') select symbol, count(*) as n, cast(sum(shares) as bigint) as shares from e where printable is null or printable = 'Y' group by symbol", "messages"))
+def p4_printable(spark, sf_dir):
+    """Printed volume: of every fourth execution at a price of its own, half are marked not printable."""
+    own = (F.col("msg_type") == "E") & (F.col("seq") % 4 == 0)
+    m = _log(spark, sf_dir)[0]
+    told = m.withColumn("printable", F.when(own, F.when(F.col("seq") % 8 == 0, "N").otherwise("Y"))).withColumn("msg_type", F.when(own, "C").otherwise(F.col("msg_type")))
+    return told.where(fm.printable_only()).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("shares").alias("shares"))
+
+
+@R.add(ad.sql("select symbol, seq, price * 100 * shares // 1000000 * 27800000 // 1000000 + least(8300000, 166 * shares) as fee from trades where dir < 0", "trades"))
+def f10_sale_fees(spark, sf_dir):
+    t = ad.trades(ad.bbo(ad.events(spark, sf_dir))).where("dir < 0")
+    return t.select("symbol", "seq", fm.sale_fees("price", "shares", 27_800_000, 166, 8_300_000).alias("fee"))
+
+
+@R.add(ad.sql("select seq, sha256(concat_ws('|', symbol, seq, v, event_type)) as digest from tape", "tape"))
+def f11_row_digests(spark, sf_dir):
+    t = ad.tape(ad.events(spark, sf_dir))
+    return t.select("seq", F.sha2(F.concat_ws("|", F.col("symbol").cast("string"), F.col("seq").cast("string"), F.col("v").cast("string"), "event_type"), 256).alias("digest"))
+
+
+IDS = "case v % 4 when 0 then cast(seq as varchar) when 1 then repeat('7', 99 + cast(seq % 3 as int)) when 2 then event_type || chr(9) || cast(seq as varchar) else '' end"
+
+
+@R.add(ad.sql(f"select seq, regexp_full_match(x, '[0-9]{{1,100}}') as good, regexp_replace(x, '[\\x00-\\x1F\\x7F]', ' ', 'g') as line from (select seq, {IDS} as x from tape)", "tape"))
+def f12_ids(spark, sf_dir):
+    t = ad.tape(ad.events(spark, sf_dir))
+    k, text = F.col("v") % 4, F.col("seq").cast("string")
+    x = F.when(k == 0, text).when(k == 1, F.expr("repeat('7', 99 + cast(seq % 3 as int))")).when(k == 2, F.concat("event_type", F.lit("\t"), text)).otherwise("")
+    return t.select("seq", fm.valid_id(x).alias("good"), fm.one_line(x).alias("line"))
+
+
+@R.add(ad.sql("select case when symbol % 5 = 0 then null else day end as day, count(*) as n from bars group by 1", "bars"))
+def p11_dates_of_paths(spark, sf_dir):
+    """Days told by folder names in two forms; a fifth of the names has none."""
+    b = ad.bars(spark, sf_dir)
+    form = F.when(F.col("symbol") % 2 == 0, F.date_format("day", "yyyyMMdd")).otherwise(F.date_format("day", "yyyy-MM-dd"))
+    path = F.concat(F.lit("store/AB_20129/"), F.when(F.col("symbol") % 5 == 0, "none").otherwise(F.concat(F.lit("day_"), form)), F.lit("/part_34200000"))
+    return b.groupBy(fm.path_date(path).alias("day")).agg(F.count(F.lit(1)).alias("n"))

@@ -73,3 +73,11 @@ def e20_fill_intensity(spark, sf_dir):
     bins = studies.intensity_bins(orders).collect()  # at most 32 rows
     a, k = studies.fit_intensity({b["bin"]: b["exposure"] for b in bins}, {b["bin"]: b["fills"] for b in bins})
     return spark.createDataFrame([(round(a, 6), round(k, 6))], "a double, k double")
+
+
+@R.add(ad.sql("with r as (select symbol, seq % 4 as param, sum(-dir * shares * price) as total, count(*) as fills from trades group by all) select param, count(*) as runs, cast(sum(total) as bigint) as total, cast(sum(fills) as bigint) as fills from r group by param", "trades"))
+def a24_sweep_totals(spark, sf_dir):
+    """Trades as the fills of four parameter sets over every symbol, best first."""
+    t = ad.trades(ad.bbo(ad.events(spark, sf_dir)))
+    runs = t.groupBy("symbol", (F.col("seq") % 4).alias("param")).agg(F.sum(-F.col("dir") * F.col("shares") * F.col("price")).alias("total"), F.count(F.lit(1)).alias("fills"))
+    return studies.sweep_totals(runs, ["param"])

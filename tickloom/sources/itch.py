@@ -25,6 +25,7 @@ BODIES = {
     "A": "ref:Q side:c shares:I stock:8s price:I", "F": "ref:Q side:c shares:I stock:8s price:I mpid:4s", "E": "ref:Q shares:I match_id:Q",
     "C": "ref:Q shares:I match_id:Q printable:c price:I", "X": "ref:Q shares:I", "D": "ref:Q", "U": "ref:Q new_ref:Q shares:I price:I",
     "P": "ref:Q side:c shares:I stock:8s price:I match_id:Q", "Q": "shares:Q stock:8s price:I match_id:Q cross_type:c",
+    "R": "stock:8s category:c financial:c round_lot:I lots_only:c classification:c subtype:2s authenticity:c short_sale:c ipo:c tier:c fund:c leverage:I inverse:c",
     "H": "stock:8s state:c reserved:c reason:4s", "B": "match_id:Q", "S": "event:c",
     "I": "paired:Q imbalance:Q direction:c stock:8s far:I near:I price:I cross_type:c variation:c",
 }
@@ -35,12 +36,13 @@ FIELDS = [
     ("seq", pa.int64()), ("ts_ns", pa.int64()), ("locate", pa.int32()), ("msg_type", pa.string()), ("status", pa.string()), ("ref", pa.int64()), ("new_ref", pa.int64()), ("side", pa.string()),
     ("shares", pa.int64()), ("price", pa.int64()), ("match_id", pa.int64()), ("printable", pa.string()), ("stock", pa.string()), ("mpid", pa.string()), ("cross_type", pa.string()), ("state", pa.string()),
     ("imbalance", pa.int64()), ("paired", pa.int64()), ("direction", pa.string()),
+    ("category", pa.string()), ("round_lot", pa.int64()),
 ]
 SCHEMA = ", ".join(f"{n} {'string' if t == pa.string() else 'int' if t == pa.int32() else 'long'}" for n, t in FIELDS)
 
 
 def frames(data: bytes) -> Iterator[bytes]:
-    """Whole messages of a buffer; a cut-off end is left out."""
+    """Whole messages of a buffer; a cut-off end is left out (see trailing)."""
     at = 0
     while at + 2 <= len(data):
         n = int.from_bytes(data[at : at + 2], "big")
@@ -50,6 +52,11 @@ def frames(data: bytes) -> Iterator[bytes]:
         at += 2 + n
 
 
+def trailing(data: bytes, messages: int, size: int) -> int:
+    """Bytes behind the last whole frame of a buffer that gave so many messages of so many bytes."""
+    return len(data) - size - 2 * messages
+
+
 def decode(message: bytes) -> dict:
     """A message's fields, with status ok, header_only, truncated, bad_length or unknown_type; only ok ones have a body."""
     if not message:
@@ -82,7 +89,10 @@ def encode(m: dict) -> bytes:
 
 
 def read_days(spark: SparkSession, path: str) -> DataFrame:
-    """Every message of the files at a path (gzip by name): path, sha256 of the stored bytes, and SCHEMA's columns."""
+    """Every message of the files at a path (gzip by name): path, sha256 of the stored bytes, and SCHEMA's columns.
+
+    A cut-off end is a last row of status "trailing", with its bytes in ``shares``.
+    """
     ensure_importable(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "content")
 
@@ -91,13 +101,16 @@ def read_days(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for where, digest, content in zip(*(batch.column(c).to_pylist() for c in ("path", "sha256", "content")), strict=True):
-                data, rows, seq = gzip.decompress(content) if where.endswith(".gz") else content, [], 0
+                data, rows, seq, size = gzip.decompress(content) if where.endswith(".gz") else content, [], 0, 0
                 for m in frames(data):
                     rows.append(decode(m) | {"seq": seq})
                     seq += 1
+                    size += len(m)
                     if len(rows) == 20_000:
                         yield told(where, digest, rows)
                         rows = []
+                if left := trailing(data, seq, size):
+                    rows.append({"seq": seq, "status": "trailing", "shares": left})
                 if rows:
                     yield told(where, digest, rows)
 
@@ -108,14 +121,20 @@ def read_days(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_rejects(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Good messages, and the others with their status."""
-    return messages.where("status in ('ok', 'header_only')"), messages.where("status not in ('ok', 'header_only')").select("path", "seq", "msg_type", "status")
+    """Good messages, and the others with their status; a cut-off end is in neither (see file_counts)."""
+    return messages.where("status in ('ok', 'header_only')"), messages.where("status not in ('ok', 'header_only', 'trailing')").select("path", "seq", "msg_type", "status")
+
+
+def file_counts(messages: DataFrame) -> DataFrame:
+    """Per file: whole frames, those that are no good message, and bytes of a cut-off end."""
+    cut = F.col("status") == "trailing"
+    return messages.groupBy("path").agg(F.count(F.when(~cut, 1)).alias("frames"), F.count(F.when(~F.col("status").isin("ok", "header_only", "trailing"), 1)).alias("bad"), F.coalesce(F.max(F.when(cut, F.col("shares"))), F.lit(0)).alias("trailing"))
 
 
 def ingest(messages: DataFrame, store: str, day: str, codec: str = "zstd") -> None:
     """Append a day to the store: Parquet by day, sorted by symbol and sequence so that scans of one symbol prune."""
     good, _ = split_rejects(messages)
-    symbols = good.where("stock is not null").groupBy("locate").agg(F.first("stock").alias("symbol"))
+    symbols = good.where("stock is not null").groupBy("locate").agg(F.min_by("stock", F.struct(F.when(F.col("msg_type") == "R", 0).otherwise(1), "seq")).alias("symbol"))  # the directory's name, else the first
     table = good.join(symbols, "locate", "left").withColumn("day", F.lit(day))
     table.repartitionByRange("locate", "seq").sortWithinPartitions("locate", "seq").write.mode("append").option("compression", codec).partitionBy("day").parquet(store)
 

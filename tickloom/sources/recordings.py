@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from tickloom.functions.market import pm_price
+from tickloom.functions.market import one_line, pm_price, valid_id
 
 LEVEL = "array<struct<price: string, size: string>>"
 EVENT = (
@@ -69,6 +69,31 @@ def session(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return tokens, groups
 
 
+def write_session(tokens: DataFrame, groups: DataFrame, path: str) -> None:
+    """A session's file again (inverse of session): tokens and then groups, each in order of name."""
+    flag = lambda c: F.when(F.col(c), "1").otherwise("0")
+    text = lambda c: F.coalesce(one_line(F.col(c).cast("string")), F.lit(""))
+    bad = tokens.where(~valid_id(F.col("token")))
+    if not bad.isEmpty():
+        raise ValueError("a token's id is not 1 to 100 digits")
+    told = tokens.select(F.lit(0).alias("part"), "token", F.concat_ws("\t", F.lit("token"), "token", *map(text, ("conn", "label", "tick", "min_qty")), flag("neg_risk"), flag("fees"), *map(text, ("fee_rate_ppm", "fee_exp", "delay_ms"))).alias("value"))
+    legs = groups.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("leg", "token"))), lambda x: x["token"]).alias("legs"))
+    named = legs.select(F.lit(1).alias("part"), F.col("grp").alias("token"), F.concat_ws("\t", F.lit("group"), text("grp"), "legs").alias("value"))
+    told.union(named).orderBy("part", "token").select("value").coalesce(1).write.text(path)
+
+
+def compact(spark: SparkSession, raw: str, out: str, codec: str = "gzip") -> DataFrame:
+    """Writes the whole records of text recordings compressed and gives (lines, torn) counts.
+
+    What a stop left behind is dropped: a line that is cut off or of zero bytes has no time or is no JSON. Files appear
+    in ``out`` only when the job commits; the raw ones are left to the caller.
+    """
+    lines = spark.read.text(raw).where("value <> ''")
+    whole = F.col("value").rlike(r"^\d+ ") & F.expr("try_parse_json(split(value, ' ', 2)[1]) is not null")
+    lines.where(whole).write.option("compression", codec).text(out)
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count(F.when(~whole, 1)).alias("torn"))
+
+
 def capped_universe(groups: DataFrame, cap: int) -> list[str]:
     """Names of the groups taken in order of (rank) until the next would pass the cap; later smaller ones may still fit.
 
