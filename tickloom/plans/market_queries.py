@@ -354,10 +354,10 @@ def f12_ids(spark, sf_dir):
     return t.select("seq", fm.valid_id(x).alias("good"), fm.one_line(x).alias("line"))
 
 
-@R.add(ad.sql("select case when symbol % 5 = 0 then null else day end as day, count(*) as n from bars group by 1", "bars"))
+@R.add(ad.sql("select case when symbol % 5 = 0 then null else strftime(day, '%Y-%m-%d') end as day, count(*) as n from bars group by 1", "bars"))
 def p11_dates_of_paths(spark, sf_dir):
     """Days told by folder names in two forms; a fifth of the names has none."""
     b = ad.bars(spark, sf_dir)
     form = F.when(F.col("symbol") % 2 == 0, F.date_format("day", "yyyyMMdd")).otherwise(F.date_format("day", "yyyy-MM-dd"))
     path = F.concat(F.lit("store/AB_20129/"), F.when(F.col("symbol") % 5 == 0, "none").otherwise(F.concat(F.lit("day_"), form)), F.lit("/part_34200000"))
-    return b.groupBy(fm.path_date(path).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return b.groupBy(fm.path_date(path).cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"))
