@@ -544,6 +544,17 @@ def test_token_counts_are_the_librarys(odd):
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in frame(tokencount.token_counts(odd, BYTES))) == want
 
 
+def test_step_groups_hold_equal_tokens_over_all_partitions(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "concat_ws(' ', sequence(1, cast(1 + (id * id) % 900 as int))) as text").repartition(7)
+    got = packing.pack(docs, WORDS, group_tokens=4 * 4096).toPandas()
+    windows = got.groupby("sequence_id").agg(context=("context", "first"), tokens=("length", "sum"), groups=("step_group", "nunique"), step_group=("step_group", "first"))
+    assert (windows["tokens"] == windows["context"]).all() and (windows["groups"] == 1).all()
+    sums = windows.groupby("step_group").agg(size=("context", "first"), sizes=("context", "nunique"), tokens=("tokens", "sum"))
+    assert (sums["sizes"] == 1).all() and (sums.groupby("size")["tokens"].apply(lambda t: (t != 4 * 4096).sum()) <= 1).all() and (sums["tokens"] <= 4 * 4096).all()
+    assert len(sums[sums["size"] == 4096]) > 7  # more groups than partitions, none cut short by one
+    assert packing.pack(docs.limit(0), WORDS).count() == 0
+
+
 def test_both_tokenizers_on_odd_texts():
     r = random.Random(1)
     parts = [*"abstST'  \n\t\r.!12²½éßªÉ \x85\x1c\x1fµ<´ÀÞ中文😀　Σİ", "'s", "'LL", "'re", " '", "aaaa", "<|endoftext|>"]

@@ -5,29 +5,33 @@ largest tier stand alone; its remainder goes to the smallest tier that holds it.
 the largest down: each remainder opens a window, the gap is filled with the longest shorter remainders
 that fit and at last by a piece cut from one. What is left at the end of a block of documents waits
 for the next block; at the end of the partition it is cut into windows of decreasing powers of two,
-so no window needs padding. Windows of a tier are dealt to step groups of equal size.
+so no window needs padding. Windows of one size are dealt over the whole output to step groups, and a
+group of any size holds the same number of tokens.
 """
 
 from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from . import bpe
-from .text import arrow_map, slices
+from .text import arrow_map, checkpointed, slices
 from .tokencount import engine
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, place long"
 TIERS = (4096, 2048, 1024, 512, 256)
 END = 2
 BLOCK_TOKENS = 2_000_000
+GROUP_TOKENS = 64 * 4096
 
 
 def encode_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +117,46 @@ class Packer:
             out.append((size, window))
 
 
-def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, end: int = END, group_windows: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, end: int = END, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Packed pieces (see pieces) with their step groups (see step_groups).
+
+    The pieces are written to the shared folder first: groups need counts of all of them, and texts are
+    then encoded once. An empty table gives no rows.
+    """
+    return step_groups(checkpointed(pieces(docs, path, tiers, end)), group_tokens)
+
+
+def step_groups(packed: DataFrame, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """Adds step_group: windows of one size, numbered over all partitions, are dealt in runs of group_tokens / size.
+
+    So every group but the last of each size holds group_tokens tokens. What is joined back is one row
+    for each partition and size, so it grows with the tasks only. The last six bits of a group's number
+    are its size's logarithm, so sizes never share a group.
+    """
+    task = F.shiftright("sequence_id", 32).alias("task")
+    counts = packed.groupBy(task, "context").agg((F.max("place") + 1).alias("n"))
+    running = Window.partitionBy("context").orderBy("task")
+    before = counts.select("task", "context", (F.sum("n").over(running) - F.col("n")).alias("before"))
+    number = F.floor((F.col("before") + F.col("place")) / F.greatest(F.lit(group_tokens) / F.col("context"), F.lit(1))).cast("long")
+    size = F.log2("context").cast("long")
+    rows = packed.withColumn("task", task).join(before, ["task", "context"])
+    return rows.select(*[c for c in packed.columns if c != "place"], (F.shiftleft(number, 6) + size).alias("step_group"))
+
+
+def pieces(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, end: int = END) -> DataFrame:
     """One row per piece of a document in a window ("sequence") of at most ``tiers[0]`` tokens.
 
     Each partition packs its own rows, block by block, so nothing is shuffled and memory holds one
     block's ids. A null text is empty and packs only its end token. Rows that repeat, and null ids,
     are packed row by row. Extra columns are ignored. sequence_id is the partition's number times
-    2^32 plus the window's; step_group deals each tier's windows of a partition into groups of
-    ``group_windows``, so every group but the last of a tier holds the same number of tokens.
+    2^32 plus the window's; place counts the windows of its size in the partition. A text of any length
+    is encoded whole; its full windows leave at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 32
-        packer, held, ready, windows, per_tier = Packer(tiers), {}, 0, 0, dict.fromkeys(tiers, 0)
+        packer, held, ready, windows, per_size = Packer(tiers), {}, 0, 0, Counter()
         serial = 0
 
         def emit(last: bool) -> pa.RecordBatch:
@@ -138,20 +168,19 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = TIERS, end: int =
             packer.flush(out, last)
             rows = []
             for size, window in out:
-                tier = next((t for t in reversed(tiers) if t >= size), tiers[0])
-                group = per_tier[tier] // group_windows
-                per_tier[tier] += 1
+                place = per_size[size]
+                per_size[size] += 1
                 at = 0
                 for document, start, length in window:
                     doc_id, ids, total = held[document]
-                    rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), total, base + windows, at, size, base + (group << 4) + tiers.index(tier)))
+                    rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), total, base + windows, at, size, place))
                     at += length
                 windows += 1
             kept = {w[1] for w in packer.waiting}
             for document in [d for d in held if d not in kept]:
                 del held[document]
             columns = list(zip(*rows)) if rows else [[]] * 9
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "step_group"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context", "place"])
 
         fresh: list[int] = []
         for batch in batches:
