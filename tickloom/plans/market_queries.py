@@ -236,7 +236,7 @@ def e29_walk_forward(spark, sf_dir):
 @R.add()
 def e11_bootstrap_median(spark, sf_dir):
     q = ad.bbo(ad.events(spark, sf_dir)).groupBy("symbol").agg(F.avg(F.col("ask_px") - F.col("bid_px")).alias("spread"))
-    return stats.bootstrap_median(q, "spread", 400, 10, 389)
+    return stats.bootstrap_median(q, "spread", 2000, 50, 1949)
 
 
 @R.add(ad.sql("select symbol, n from (select symbol, count(*) as n from bbo group by symbol) order by n desc, symbol desc limit 20", "bbo"))
