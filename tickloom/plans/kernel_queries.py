@@ -113,13 +113,21 @@ def s25_random_flow(spark, sf_dir):
 
 @R.add(ad.sql("select msg_type, count(*) as n, cast(sum(coalesce(shares, 0)) as bigint) as shares, cast(sum(coalesce(price, 0)) as bigint) as price from messages group by msg_type", "messages"))
 def s2_round_trip(spark, sf_dir):
-    """Messages written as frames, decoded again, and summed."""
-    m = _messages(spark, sf_dir).withColumn("ts_ns", F.col("ts_us") % 86_400_000_000 * 1000).withColumn("locate", F.col("symbol").cast("int")).withColumn("stock", F.col("symbol").cast("string"))
-    framed = itch.as_frames(m.select("seq", "ts_ns", "locate", "msg_type", "ref", "new_ref", "side", "shares", "price", "stock"))
+    """Messages written as frames, decoded again, and summed.
+
+    A feed has 65,536 locate codes, so symbols are dealt to feeds. Price fields are unsigned: a price
+    below zero is written as two's complement, and one of over 31 bits is an error.
+    """
+    m = _messages(spark, sf_dir).withColumn("ts_ns", F.col("ts_us") % 86_400_000_000 * 1000).withColumn("stock", F.col("symbol").cast("string"))
+    m = m.withColumn("feed", F.floor(F.col("symbol") / 65_536)).withColumn("locate", F.pmod("symbol", F.lit(65_536)).cast("int"))
+    fits = F.col("price").isNull() | F.col("price").between(-(2**31), 2**31 - 1)
+    m = m.withColumn("price", F.when(fits, F.pmod("price", F.lit(2**32))).otherwise(F.raise_error("a price has over 31 bits")))
+    framed = itch.as_frames(m.select("feed", "seq", "ts_ns", "locate", "msg_type", "ref", "new_ref", "side", "shares", "price", "stock"))
     at = lambda o, n: F.conv(F.hex(F.substring("frame", o, n)), 16, 10).cast("long")  # noqa: E731  big-endian unsigned
     kind = F.substring("frame", 3, 1).cast("string")
     shares = F.when(kind == "A", at(23, 4)).when(kind.isin("E", "X"), at(22, 4)).when(kind == "U", at(30, 4)).otherwise(0)
     price = F.when(kind == "A", at(35, 4)).when(kind == "U", at(34, 4)).otherwise(0)
+    price = F.when(price < 2**31, price).otherwise(price - 2**32)
     return framed.select(kind.alias("msg_type"), shares.alias("shares"), price.alias("price")).groupBy("msg_type").agg(F.count(F.lit(1)).alias("n"), F.sum("shares").alias("shares"), F.sum("price").alias("price"))
 
 

@@ -153,13 +153,18 @@ def transcode(spark: SparkSession, store: str, out: str, codec: str) -> None:
 
 
 def as_frames(messages: DataFrame) -> DataFrame:
-    """Each message's frame again: seq, frame. In order of seq these are the feed's bytes."""
+    """Each message's frame again: seq, frame. In order of seq these are the feed's bytes.
+
+    Locate codes are of two bytes, so more symbols take more feeds: messages may have a column ``feed``
+    (long), which is kept beside the frames.
+    """
     ensure_importable(messages.sparkSession)
     names = [n for n, _ in FIELDS if n in messages.columns]
+    beside = ["seq"] + ["feed"] * ("feed" in messages.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([encode(r) for r in rows], pa.binary())], names=["seq", "frame"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in beside), pa.array([encode(r) for r in rows], pa.binary())], names=[*beside, "frame"])
 
-    return messages.where(F.col("msg_type").isin(*READERS)).select(*names).mapInArrow(run, "seq long, frame binary")
+    return messages.where(F.col("msg_type").isin(*READERS)).select(*names, *beside[1:]).mapInArrow(run, ", ".join(f"{c} long" for c in beside) + ", frame binary")
