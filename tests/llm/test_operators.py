@@ -412,6 +412,33 @@ def test_search_against_brute_force(odd, how):
         assert [(-x, i) for i, x in got[q]] == want
 
 
+@pytest.mark.parametrize("pairs", [8_000_000, 300])
+def test_search_in_rounds_finds_the_same(odd, monkeypatch, pairs):
+    """Rounds begin with the k-th best of those before, take each document once and leave out no result."""
+    asked = odd.where("doc_id % 4 = 0").selectExpr("doc_id as query_id", "text")
+    want = sorted(map(tuple, search.search(odd, asked, search.Settings(k=3)).collect()))
+    real, least = search._kth, []
+    monkeypatch.setattr(search, "_kth", lambda *a: [least.append(b.value) or b for b in real(*a)])
+    how = search.Settings(tasks=2, k=3, shard_docs=8, block=2, broadcast_pairs=pairs, round_growth=2, first_round=10)
+    got = sorted(map(tuple, search.search(odd, asked, how).collect()))
+    assert len(least) >= 2 and any((x > 0).any() for x in least)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
+def test_thresholds_of_earlier_rounds_spare_blocks():
+    """With the k-th score of earlier rounds, a shard scores no block that stays below it."""
+    r = np.random.default_rng(4)
+    parts = [(np.arange(400), np.full(400, 10), np.repeat(np.arange(400), 10), np.concatenate([np.sort(r.choice(60, 10, replace=False)) for _ in range(400)]), np.ones(4000, np.int64))]
+    how = search.Settings(block=20, frequent=60, k=3)
+    shard = search.Shard(parts, np.ones(60), 10.0, how)
+    found = []
+    for least in (None, np.array([100.0])):
+        best = search.Best(search.Queries(np.array([7]), np.array([0, 10]), np.arange(10, dtype=np.int32), np.arange(60), np.ones(60), least), how)
+        shard.ask(best, how)
+        found.append(sum(len(x[0]) for x in best.held))
+    assert found[0] > 0 and found[1] == 0
+
+
 def test_blocks_below_the_threshold_are_not_scored():
     """Texts of two kinds: a query of one kind takes no sums over blocks of the other, and finds the best."""
     r = np.random.default_rng(3)
